@@ -72,9 +72,14 @@ def _cells(counts: Column, width: int) -> Column:
     return F.array_append(F.concat(up, down), counts)
 
 
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of differing bits of signed 64-bit numbers."""
+    return np.bitwise_count((x ^ y).view("u8"))
+
+
 def _links(fps: np.ndarray, ids: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """A link for each member that is not the smallest id of its component under the distance."""
-    label, near = np.argsort(np.argsort(ids, kind="stable"), kind="stable"), np.bitwise_count(fps[:, None] ^ fps[None, :]) <= distance
+    label, near = np.argsort(np.argsort(ids, kind="stable"), kind="stable"), _differing(fps[:, None], fps[None, :]) <= distance
     order = np.argsort(ids, kind="stable")
     while True:
         new = np.where(near, label[None, :], len(ids)).min(1)
@@ -105,7 +110,7 @@ def _meet(cells: DataFrame, distance: int, crowd: int) -> DataFrame:
             cut = np.flatnonzero(np.diff(rows[:, 0], prepend=rows[0, 0] ^ 1, append=rows[-1, 0] ^ 1))
             size, links, many = np.diff(cut), [], []
             two = cut[:-1][size == 2]
-            near = two[np.bitwise_count(rows[two, 1] ^ rows[two + 1, 1]) <= distance]
+            near = two[_differing(rows[two, 1], rows[two + 1, 1]) <= distance]
             links += [(int(x), int(y)) for x, y in zip(rows[near, 2], rows[near + 1, 2], strict=True)]
             for k in np.flatnonzero(size > 2):
                 own = rows[cut[k] : cut[k + 1]]
@@ -213,7 +218,7 @@ def _leaders(ids: np.ndarray, lane: np.ndarray) -> list[tuple[int, int]]:
     heads: list[int] = []
     out = []
     for i in np.argsort(ids, kind="stable"):
-        far = np.bitwise_count(lane[heads] ^ lane[i]) if heads else np.empty(0)
+        far = _differing(lane[heads], lane[i]) if heads else np.empty(0)
         out += [(int(ids[i]), int(ids[heads[k]])) for k in np.flatnonzero(far <= FIRST_LANE)]
         if not len(far) or far.min() > FIRST_LANE // 3:
             heads.append(int(i))
@@ -271,7 +276,7 @@ def near_text_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
             while len(at):
                 at = at[at + gap < len(rows)]
                 at = at[rows[at, 0] == rows[at + gap, 0]]
-                near = at[np.bitwise_count(rows[at, 2] ^ rows[at + gap, 2]) <= FIRST_LANE]
+                near = at[_differing(rows[at, 2], rows[at + gap, 2]) <= FIRST_LANE]
                 found.append(np.stack([rows[near, 1], rows[near + gap, 1]], 1))
                 gap += 1
             both = np.sort(np.concatenate([*found, np.empty((0, 2), "i8")]), 1)
