@@ -103,7 +103,7 @@ def hamming(a: Column, b: Column) -> Column:
 
 def fixed_text(x: Column, places: int) -> Column:
     """The exact binary value rounded to so many places, halves to even; null stays null."""
-    return F.regexp_replace(F.format_number(x.cast("double"), "0." + "0" * places), ",", "")
+    return F.regexp_replace(F.call_function("format_number", x.cast("double"), F.lit("0." + "0" * places)), ",", "")
 
 
 def zero_blank(n: Column) -> Column:
