@@ -213,14 +213,20 @@ def wide_fingerprint(text: str | None, shingle: int = 5, lanes: int = LANES) ->
     return b"".join(out), len(h)
 
 
-def _leaders(ids: np.ndarray, lane: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of each member with the leaders of a crowded cell; leaders are no closer than a third of FIRST_LANE to each other."""
-    heads: list[int] = []
-    out = []
-    for i in np.argsort(ids, kind="stable"):
-        far = _differing(lane[heads], lane[i]) if heads else np.empty(0)
-        out += [(int(ids[i]), int(ids[heads[k]])) for k in np.flatnonzero(far <= FIRST_LANE)]
-        if not len(far) or far.min() > FIRST_LANE // 3:
+def _partners(ids: np.ndarray, lane: np.ndarray, crowd: int) -> list[tuple[int, int]]:
+    """At most two pairs of each member of a cell: with the smallest and the most alike of those of smaller id that are near.
+
+    In a crowd, members are compared only with the leaders before them, which are near no earlier leader.
+    """
+    order, out = np.argsort(ids, kind="stable"), []
+    heads = order[:0].tolist()
+    for n, i in enumerate(order):
+        before = order[:n] if len(ids) <= crowd else np.array(heads, "i8")
+        far = _differing(lane[before], lane[i])
+        near = np.flatnonzero(far <= FIRST_LANE)
+        if len(near):
+            out += {(int(ids[i]), int(ids[before[k]])) for k in (near[0], near[far[near].argmin()])}
+        else:
             heads.append(int(i))
     return [p for p in out if p[0] != p[1]]
 
@@ -233,13 +239,16 @@ def near_text_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     where all of one 16-bit group of them is equal and the set sizes can give the similarity; with 64 groups 99 of
     100 pairs at the threshold meet, and more above it. Pairs are told apart by the first 64 bits in the cell, then
     compared over all bits: pairs well under the angle's distance link, pairs around it that no chain of links
-    joins yet are verified by their shingle sets, which are made for them alone. In cells with over ``crowd`` members each member is compared with the cell's
-    leaders, which grow with the number of different texts there, not with that of copies.
+    joins yet are verified by their shingle sets, which are made for them alone. In cells with over four members
+    each member is paired with the smallest and the most alike of the near ones before it, in cells with over
+    ``crowd`` with the first and the most alike leader, so pairs grow with texts, not with the square of a group;
+    as texts meet in many cells, each with other companions, groups hold together.
 
     Equal texts are one point; texts without words link with one another only; ids are the smallest of equal
     fingerprints, null ids take no part (component null). Empty tables give empty results.
     """
     scratch = Scratch(docs.sparkSession, "near")
+    few = 4
     groups, angle = lanes * 64 // SEGMENT, np.arccos(2 * similarity / (1 + similarity)) / np.pi
     spread = np.sqrt(lanes * 64 * angle * (1 - angle))
     sure, most = (int(lanes * 64 * angle + x * spread) for x in (-3, 4))
@@ -271,8 +280,8 @@ def near_text_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
         def work(rows: np.ndarray) -> pa.RecordBatch:
             cut = np.flatnonzero(np.diff(rows[:, 0], prepend=rows[0, 0] ^ 1, append=rows[-1, 0] ^ 1))
             size = np.diff(cut)
-            found = [np.array(_leaders(rows[cut[k] : cut[k + 1], 1], rows[cut[k] : cut[k + 1], 2]), "i8").reshape(-1, 2) for k in np.flatnonzero(size > crowd)]
-            at, gap = np.flatnonzero(np.repeat((size > 1) & (size <= crowd), size)), 1
+            found = [np.array(_partners(rows[cut[k] : cut[k + 1], 1], rows[cut[k] : cut[k + 1], 2], crowd), "i8").reshape(-1, 2) for k in np.flatnonzero(size > few)]
+            at, gap = np.flatnonzero(np.repeat((size > 1) & (size <= few), size)), 1
             while len(at):
                 at = at[at + gap < len(rows)]
                 at = at[rows[at, 0] == rows[at + gap, 0]]
