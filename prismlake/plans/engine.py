@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from prismlake.operators import dedup, geocode, resume
+from prismlake.operators import dedup, geocode
+from prismlake.operators.resume import ROWS, not_done
 from prismlake.operators.decode import decode
 from prismlake.plans.scratch import Scratch
 from prismlake.sources import index_csv
@@ -24,7 +25,7 @@ class MediaIndex:
     exclude: str = ""
     resume: bool = False
     dedup_threshold: int | None = dedup.THRESHOLD
-    rotate_rows: int = resume.ROWS
+    rotate_rows: int = ROWS
     decoders: dict | None = None
     fetch: Callable[[float, float], str | None] | None = None
 
@@ -37,7 +38,7 @@ class MediaIndex:
         files = media_files(spark, self.folder, self.exclude)
         if self.resume:
             paths = [p for _, p in index_csv.chunk_files(spark, self.out, self.stem)]
-            files = resume.not_done(files, index_csv.read_index(spark, paths))
+            files = not_done(files, index_csv.read_index(spark, paths))
         scratch = Scratch(spark, "index")
         rows = scratch.keep(decode(files, self.decoders))
         if self.fetch:
