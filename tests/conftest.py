@@ -1,9 +1,11 @@
+"""Fixtures."""
+
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).parent.parent))
+sys.path[:0] = [str(Path(__file__).parent.parent), str(Path(__file__).parent)]
 
 
 @pytest.fixture(scope="session")
