@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from prismlake.llm.files import in_range, range_starts, read_whole, write_whole
@@ -17,12 +18,22 @@ from prismlake.plans.scratch import Scratch, new_path
 
 #: Text bytes of a shard, rounds of replacement, pairs replaced in one at most, and how often a pair must occur.
 SHARD, ROUNDS, PAIRS, TIMES = 12 << 20, 8, 512, 32
-#: Words whose ids a worker remembers.
-REMEMBERED = 200_000
-#: Buckets that pairs are counted in before the frequent ones are counted exactly.
+#: Pieces whose ids a worker remembers in each of two generations.
+REMEMBERED = 400_000
+#: Words looked up between two looks at how many are remembered.
+_TURN = 50_000
+#: Bits of the hash that pairs are counted by before the frequent ones are counted exactly.
 _BUCKETS = 18
 _MAGIC = b"RPG1"
-_PLAIN = re.compile(r"[A-Za-z]+")
+
+# The normalizer and the splitter of tokenizers whose texts can be cut into pieces here, and what \s, \p{L}
+# and \p{N} are among the first 256 characters.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_SPACES, _LETTERS, _NUMBERS = "\t-\r \x85\xa0", "a-zA-Zªµºà-öø-ÿÀ-ÖØ-ß", "0-9²³¹¼½¾"
+
+_PIECE = re.compile(f"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
+_OTHER = re.compile("[^\x00-\xff]")
 
 
 @lru_cache(maxsize=2)
@@ -32,60 +43,115 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it prints, else the next from 256 on."""
+    prints = [33 <= b <= 126 or 161 <= b <= 172 or b >= 174 for b in range(256)]
+    return [chr(b) if prints[b] else chr(256 + b - sum(prints[:b])) for b in range(256)]
+
+
 class Encoder:
-    """Encodes whole texts with a tokenizer that never joins what white space parts: word by word, remembering words.
+    """Encodes whole texts, each different word of a batch once, remembering words and their pieces.
 
-    ``whole`` encodes each text at once instead, for tokenizers that don't split at white space.
+    Pieces are cut as the tokenizer's own splitter does, which never lets a token span two, so ids equal those of
+    the whole text. Words with characters past the first 256, which may change under normalization, or with one of
+    the tokenizer's special strings go through the library, and so do whole texts under tokenizers with other rules.
     """
 
-    def __init__(self, path: str, whole: bool = False):
-        self.tokenizer, self.whole, self.known = _tokenizer(path), whole, {}
+    def __init__(self, path: str):
+        self.tokenizer, self.known, self.older, self.letters = _tokenizer(path), {}, {}, _byte_letters()
+        rules = json.loads(self.tokenizer.to_str())
+        split = rules["pre_tokenizer"] or {}
+        steps = split.get("pretokenizers", [])
+        self.special = [t["content"] for t in rules["added_tokens"]]
+        self.pieces = rules["normalizer"] == _NORMALIZER and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": _SPLIT} and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        model = self.tokenizer.model
-        plain = [w for w in words if _PLAIN.fullmatch(w)]
-        for w in plain:
-            self.known[w] = np.array([t.id for t in model.tokenize(w.lower())], "<u4").tobytes()
-        rest = [w for w in words if w not in self.known]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        """Ids of the text as little-endian unsigned 32-bit integers."""
-        if self.whole:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _ids(self, word: str) -> bytes:
+        if _OTHER.search(word) or "<" in word and any(x in word for x in self.special):
+            return self._whole(word)
         out = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            found = list(map(self.known.get, words))
-            if None in found:
-                self._learn([w for w in dict.fromkeys(words) if w not in self.known])
-                found = [self.known[w] if x is None else x for w, x in zip(words, found, strict=True)]
-            out += found
+        for p in _PIECE.findall(word.lower()):
+            ids = self.known.get(p) or self.older.get(p)
+            if ids is None:
+                letters = p if p.isascii() and p.isprintable() else "".join(self.letters[b] for b in p.encode())
+                ids = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+            self.known[p] = ids
+            out.append(ids)
         return b"".join(out)
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        found = list(map(self.known.get, words))
+        for k, x in enumerate(found):
+            if x is None:
+                w = words[k]
+                found[k] = self.known[w] = self.older[w] if w in self.older else self._ids(w)
+        return found
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts): the ids of the texts one after another, and how many each text has."""
+        if self.pieces:
+            words = pc.ascii_split_whitespace(texts)
+            coded = words.flatten().dictionary_encode()
+            at, cuts, known = coded.indices.to_numpy(), words.offsets.to_numpy(), []
+            for lo in range(0, len(coded.dictionary), _TURN):
+                known += self._words(coded.dictionary[lo : lo + _TURN].to_numpy(zero_copy_only=False).tolist())
+        else:
+            known = [self._whole(t.as_py()) for t in texts]
+            at = np.arange(len(known))
+            cuts = np.arange(len(known) + 1)
+        size = np.fromiter(map(len, known), "i8", len(known)) // 4
+        ids = _gather(np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size, size, at)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(size[at])])[cuts])
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The stretches ``at`` of flat, one after another; stretch k has size[k] items from start[k] on."""
+    sizes = size[at]
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(start[at] - (ends - sizes), sizes) + np.arange(total)]
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """A worker's encoder, which its later tasks use too."""
+    return Encoder(path)
+
 
 def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, pairs: int = PAIRS, times: int = TIMES) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, rules): rule k, a pair of symbols, is what symbol first + k stands for.
 
     Each round replaces the most frequent pairs by new symbols, from the left; it takes several at once, as long as
-    none starts with a symbol that another ends with, so that their places never overlap.
+    none starts with a symbol that another ends with, so that their places never overlap. Pairs are counted by a
+    hash, then the first pair of each frequent hash exactly; another pair of that hash waits for the next round,
+    which hashes otherwise.
     """
-    seq, rules = ids.astype("i8"), []
-    for _ in range(rounds):
+    bits, symbol_kind, pair_kind = (16, "u2", "u4") if first + rounds * pairs <= 1 << 16 else (32, "u4", "u8")
+    seq, rules = ids.astype(symbol_kind), []
+    for turn in range(rounds):
         if len(seq) < 2:
             break
-        pair = (seq[:-1] << 32) | seq[1:]
-        bucket = ((pair * np.int64(-7046029254386353131)) >> (64 - _BUCKETS)) & ((1 << _BUCKETS) - 1)
+        pair = (seq[:-1].astype(pair_kind) << bits) | seq[1:]
+        odd = np.array((0x9E3779B97F4A7C15 * (2 * turn + 1) % 2**64 >> (64 - 2 * bits)) | 1, pair_kind)
+        bucket = ((pair * odd) >> (2 * bits - _BUCKETS)).astype("i8")
         counts = np.bincount(bucket, minlength=1 << _BUCKETS)
-        least = max(times, int(np.partition(counts, -2 * pairs)[-2 * pairs]))
-        often = np.flatnonzero((counts >= least)[bucket])
-        value, group, n = np.unique(pair[often], return_inverse=True, return_counts=True)
+        hot = counts >= max(times, int(np.partition(counts, -2 * pairs)[-2 * pairs]))
+        place = np.flatnonzero(hot[bucket])
+        if not len(place):
+            break
+        group, own = (np.cumsum(hot) - 1)[bucket[place]], pair[place]
+        value = np.zeros(int(hot.sum()), pair_kind)
+        value[group[::-1]] = own[::-1]
+        exact = value[group] == own
+        place, group = place[exact], group[exact]
+        n = np.bincount(group, minlength=len(value))
         heads, tails, chosen = set(), set(), []
-        for k in np.argsort(-n, kind="stable")[: 4 * pairs]:
-            a, b = int(value[k]) >> 32, int(value[k]) & 0xFFFFFFFF
+        for k in np.argsort(-n, kind="stable"):
+            a, b = int(value[k]) >> bits, int(value[k]) & ((1 << bits) - 1)
             if n[k] < times or len(chosen) == pairs:
                 break
             if a in tails or b in heads or a == b and (a in heads or b in tails):
@@ -97,9 +163,9 @@ def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, pairs: int = PAI
             break
         new = np.full(len(value), -1, "i8")
         new[chosen] = first + len(rules) + np.arange(len(chosen))
-        rules += [(int(value[k]) >> 32, int(value[k]) & 0xFFFFFFFF) for k in chosen]
+        rules += [(int(value[k]) >> bits, int(value[k]) & ((1 << bits) - 1)) for k in chosen]
         symbol = new[group]
-        place, symbol = often[symbol >= 0], symbol[symbol >= 0]
+        place, symbol = place[symbol >= 0], symbol[symbol >= 0]
         start = np.flatnonzero(np.diff(place, prepend=-2) != 1)
         kept = (np.arange(len(place)) - np.repeat(start, np.diff(start, append=len(place)))) % 2 == 0
         place, symbol = place[kept], symbol[kept]
@@ -146,11 +212,8 @@ class Shard:
         if stop <= start:
             return np.empty(0, "<u4")
         a, b = int(np.searchsorted(self._ends, start, side="right")), int(np.searchsorted(self._ends, stop, side="left")) + 1
-        symbols = self.sequence[a:b]
-        size = self._size[symbols]
-        ends = np.cumsum(size)
-        skip = start - int(self._ends[a] - size[0])
-        ids = self._flat[np.repeat(self._from[symbols] - (ends - size), size) + np.arange(ends[-1])]
+        skip = start - int(self._ends[a] - self._size[self.sequence[a]])
+        ids = _gather(self._flat, self._from, self._size, self.sequence[a:b])
         return ids[skip : skip + stop - start].astype("<u4")
 
 
@@ -184,28 +247,35 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int = 1, tex
     dealt = rows.repartitionByRange(len(starts) + 1, "shard").sortWithinPartitions("shard", "id", "crc", F.octet_length("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at, files = Encoder(tokenizer, whole), None, []
+        encoder, at, files = _encoder(tokenizer), None, []
         first = _tokenizer(tokenizer).get_vocab_size()
-        parts, ids, mark = [], [], np.array([end], "<u4").tobytes()
+        parts, counts, ids = [], [], []
 
         def close() -> None:
-            nonlocal parts, ids
+            nonlocal parts, counts, ids
             name = f"ids-{at:06d}.rpg"
-            ends = np.cumsum([len(p) // 4 for p in parts])
-            data = shard_bytes(np.frombuffer(b"".join(parts), "<u4"), ids, ends, first)
+            ends = np.cumsum(np.concatenate(counts))
+            data = shard_bytes(np.concatenate(parts), ids, ends, first)
             write_whole(folder, name, data)
             arrays = {k: n for k, _, n in json.loads(data[2])["arrays"]}
             files.append((at, name, len(ids), int(ends[-1]), arrays["sequence"], sum(map(len, data))))
-            parts, ids = [], []
+            parts, counts, ids = [], [], []
 
         for b in batches:
-            for shard, doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if shard != at:
+            if not b.num_rows:
+                continue
+            got, n = encoder.batch(b.column(2))
+            got, n = np.insert(got, np.cumsum(n), end), n + 1
+            cuts, shards = np.concatenate([[0], np.cumsum(n)]), b.column(0).to_numpy()
+            new = np.flatnonzero(np.diff(shards, prepend=shards[0] - 1, append=shards[-1] + 1))
+            for lo, hi in zip(new[:-1].tolist(), new[1:].tolist(), strict=True):
+                if shards[lo] != at:
                     if ids:
                         close()
-                    at = shard
-                parts.append(encoder.ids(t.as_py()) + mark)
-                ids.append(doc)
+                    at = int(shards[lo])
+                parts.append(got[cuts[lo] : cuts[hi]])
+                counts.append(n[lo:hi])
+                ids += b.column(1)[lo:hi].to_pylist()
         if ids:
             close()
         columns = list(zip(*files, strict=True)) or [[]] * 6

@@ -205,6 +205,25 @@ def test_token_ids(spark, odd, none):
     assert repair_ids.read_shards(repair_ids.write_shards(none, folder, path), folder).count() == 0
 
 
+def test_encoder_equals_whole_texts():
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(8)
+    pieces = [chr(c) for c in range(256)] + list("'s'll'd  ıİΣςé\u0301\u0308中\u2003\u3000½ŉ\U0001f600") + ["<|endoftext|>", "'S ", "Ünï", "it's", "Word", " "]
+    texts = ["".join(rng.choice(pieces, rng.integers(0, 14))) for _ in range(6000)] + ["", "x" * 50_000, "a b " * 20_000]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        whole, encoder = Tokenizer.from_file(path), repair_ids.Encoder(path)
+        assert encoder.pieces == (name == "word_bpe_49k.json")
+        ids, counts = encoder.batch(pa.array(texts))
+        ends = np.cumsum(counts)
+        for t, own in zip(texts, np.split(ids, ends[:-1]), strict=True):
+            assert own.tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+    assert not len(encoder.batch(pa.array([], pa.string()))[0])
+
+
 def test_grammar_round_trip():
     rng = np.random.default_rng(3)
     for n, top in ((0, 5), (1, 5), (5000, 3), (20000, 50)):
