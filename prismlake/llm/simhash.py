@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -180,8 +180,8 @@ def simhash_groups(docs: DataFrame, distance: int = 2, shingle: int = 3, text: s
     return rows.join(groups, "fp").select(F.col("id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: 64-bit lanes of a wide fingerprint, bits of the segments it is cut into, and how far apart the first lanes of a pair may be.
-LANES, SEGMENT, FIRST_LANE = 16, 16, 21
+#: 64-bit lanes of a wide fingerprint, bits of the segments it is cut into, how far apart the first lanes of a pair may be, and those of a star.
+LANES, SEGMENT, FIRST_LANE, STAR = 16, 16, 21, 14
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 for k in range(64)], "u8")
 
 
@@ -213,19 +213,67 @@ def wide_fingerprint(text: str | None, shingle: int = 5, lanes: int = LANES) ->
     return b"".join(out), len(h)
 
 
-def _leaders(ids: np.ndarray, lane: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of each member with the leaders of a crowded cell; leaders are no closer than a third of FIRST_LANE to each other."""
-    heads: list[int] = []
-    out = []
-    for i in np.argsort(ids, kind="stable"):
-        far = _differing(lane[heads], lane[i]) if heads else np.empty(0)
-        out += [(int(ids[i]), int(ids[heads[k]])) for k in np.flatnonzero(far <= FIRST_LANE)]
-        if not len(far) or far.min() > FIRST_LANE // 3:
-            heads.append(int(i))
-    return [p for p in out if p[0] != p[1]]
+def _stars(rows: np.ndarray) -> np.ndarray:
+    """Pairs (smaller id, larger id) of each cell's first row with the rows near it, then of the first one left with those near it, and so on.
 
+    ``rows`` are (cell, id, lane), sorted by cell and id. There are fewer pairs than rows.
+    """
+    out = [np.empty((0, 2), "i8")]
+    while len(rows):
+        first = np.flatnonzero(np.diff(rows[:, 0], prepend=rows[0, 0] ^ 1))
+        head = np.repeat(first, np.diff(first, append=len(rows)))
+        near = _differing(rows[:, 2], rows[head, 2]) <= STAR
+        own = np.flatnonzero(near & (head != np.arange(len(rows))))
+        out.append(np.stack([rows[head[own], 1], rows[own, 1]], 1))
+        rows = rows[~near]
+    return np.concatenate(out)
+
+
+def _strangers(rows: np.ndarray) -> np.ndarray:
+    """All pairs (smaller id, larger id) of a cell that are near and have different roots; ``rows`` are (cell, id, lane, root), sorted by cell and root."""
+    out = [np.empty((0, 2), "i8")]
+    cell = np.flatnonzero(np.diff(rows[:, 0], append=rows[-1, 0] ^ 1)) + 1
+    root = np.flatnonzero(np.diff(rows[:, 0], append=rows[-1, 0] ^ 1) | np.diff(rows[:, 3], append=rows[-1, 3] ^ 1)) + 1
+    end, to = np.repeat(cell, np.diff(cell, prepend=0)), np.repeat(root, np.diff(root, prepend=0))
+    at = np.flatnonzero(to < end)
+    to = to[at]
+    while len(at):
+        near = _differing(rows[at, 2], rows[to, 2]) <= FIRST_LANE
+        out.append(np.stack([rows[at[near], 1], rows[to[near], 1]], 1))
+        to += 1
+        more = to < end[at]
+        at, to = at[more], to[more]
+    return np.sort(np.concatenate(out), 1)
+
+
+def _in_cells(find: Callable[[np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``find``'s pairs, each once a call, over a stream of rows sorted by cell, whole cells at a time."""
 
-def near_text_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, lanes: int = LANES, crowd: int = CROWD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(rows: np.ndarray) -> pa.RecordBatch:
+            both = np.unique(find(rows), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        held: list[np.ndarray] = []
+        for b in batches:
+            rows = np.stack([c.to_numpy() for c in b.columns], 1)
+            if not len(rows):
+                continue
+            if held and held[-1][-1, 0] != rows[-1, 0]:
+                last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+                yield work(np.concatenate([*held, rows[:last]]))
+                held, rows = [], rows[last:]
+            elif not held and (last := int(np.searchsorted(rows[:, 0], rows[-1, 0]))):
+                yield work(rows[:last])
+                rows = rows[last:]
+            held.append(rows)
+        if held:
+            yield work(np.concatenate(held))
+
+    return run
+
+
+def near_text_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, lanes: int = LANES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(id, component_id) of each row of docs, by wide fingerprints of word shingles whose Jaccard similarity is ``similarity`` or more.
 
     Sets of that similarity have a known angle, and so fingerprints a known part of differing bits (about 15 % at
@@ -233,8 +281,12 @@ def near_text_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     where all of one 16-bit group of them is equal and the set sizes can give the similarity; with 64 groups 99 of
     100 pairs at the threshold meet, and more above it. Pairs are told apart by the first 64 bits in the cell, then
     compared over all bits: pairs well under the angle's distance link, pairs around it that no chain of links
-    joins yet are verified by their shingle sets, which are made for them alone. In cells with over ``crowd`` members each member is compared with the cell's
-    leaders, which grow with the number of different texts there, not with that of copies.
+    joins yet are verified by their shingle sets, which are made for them alone.
+
+    Pairs are taken in two rounds, so that a group of copies doesn't emit its square. First each cell gives stars,
+    fewer pairs than it has members, which join nearly all of a group. Then the cells are formed again and give all
+    the pairs that meet and aren't joined yet. A pair left out has both ends in one group already, so the groups
+    are those of all pairs that meet, in cells of every size. A cell's rows (32 bytes each) are held by one task.
 
     Equal texts are one point; texts without words link with one another only; ids are the smallest of equal
     fingerprints, null ids take no part (component null). Empty tables give empty results.
@@ -258,40 +310,14 @@ def near_text_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
             if not b.num_rows:
                 continue
             fp = np.frombuffer(b"".join(b.column(0).to_pylist()), "<u8").reshape(-1, lanes)
-            bucket = np.floor(np.log(np.maximum(1, b.column(2).to_numpy())) / step).astype("i8")
+            bucket = np.floor(np.log(np.maximum(1, b.column(1).to_numpy())) / step).astype("i8")
             part = fp.view("<u2").astype("i8") + (np.arange(groups) << 16)
             both = np.stack([part + (bucket[:, None] << 32), part + ((bucket[:, None] + 1) << 32)], 2).ravel()
             each = 2 * groups
+            own = [b.column(2).to_numpy(), fp[:, 0].view("i8"), *(c.to_numpy() for c in b.columns[3:])]
             for lo in range(0, b.num_rows, 256):
                 n = min(256, b.num_rows - lo)
-                ids, first = np.repeat(b.column(1).to_numpy()[lo : lo + n], each), np.repeat(fp[lo : lo + n, 0].view("i8"), each)
-                yield pa.RecordBatch.from_arrays([pa.array(both[lo * each : (lo + n) * each]), pa.array(ids), pa.array(first)], names=["cell", "id", "lane"])
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(rows: np.ndarray) -> pa.RecordBatch:
-            cut = np.flatnonzero(np.diff(rows[:, 0], prepend=rows[0, 0] ^ 1, append=rows[-1, 0] ^ 1))
-            size = np.diff(cut)
-            found = [np.array(_leaders(rows[cut[k] : cut[k + 1], 1], rows[cut[k] : cut[k + 1], 2]), "i8").reshape(-1, 2) for k in np.flatnonzero(size > crowd)]
-            at, gap = np.flatnonzero(np.repeat((size > 1) & (size <= crowd), size)), 1
-            while len(at):
-                at = at[at + gap < len(rows)]
-                at = at[rows[at, 0] == rows[at + gap, 0]]
-                near = at[_differing(rows[at, 2], rows[at + gap, 2]) <= FIRST_LANE]
-                found.append(np.stack([rows[near, 1], rows[near + gap, 1]], 1))
-                gap += 1
-            both = np.sort(np.concatenate([*found, np.empty((0, 2), "i8")]), 1)
-            both = np.unique(both, axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-        held = np.empty((0, 3), "i8")
-        for b in batches:
-            rows = np.concatenate([held, np.stack([c.to_numpy() for c in b.columns], 1)])
-            last = int(np.searchsorted(rows[:, 0], rows[-1, 0])) if len(rows) else 0
-            held = rows[last:]
-            if last:
-                yield work(rows[:last])
-        if len(held):
-            yield work(held)
+                yield pa.RecordBatch.from_arrays([pa.array(both[lo * each : (lo + n) * each]), *(pa.array(np.repeat(x[lo : lo + n], each)) for x in own)], names=["cell", "id", "lane", "root"][: 1 + len(own)])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -304,23 +330,36 @@ def near_text_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(shingle_set(x.as_py(), shingle)) for x in b.column(1)], pa.list_(pa.uint64())).cast(pa.list_(pa.int64()), safe=False)], names=["id", "set"])
 
-    known = points.where(F.col("id").isNotNull() & (F.col("n") > 0)).select("fp", "id", "n")
-    met = known.mapInArrow(cells, "cell long, id long, lane long").repartition("cell").sortWithinPartitions("cell").mapInArrow(pairs, "a long, b long").distinct()
+    known = points.where(F.col("id").isNotNull() & (F.col("n") > 0)).select("fp", "n", "id")
     one, two = known.select(F.col("id").alias("a"), F.col("fp").alias("x")), known.select(F.col("id").alias("b"), F.col("fp").alias("y"))
-    close = scratch.keep(met.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, sure boolean"))
-    links = close.where("sure").select("a", "b")
-    roots = scratch.keep(connected_components(links, tag="near"))
-    of = {c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"}
-    open_ = close.where("not sure").join(of["a"], "a", "left").join(of["b"], "b", "left")
-    open_ = scratch.keep(open_.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
-    ids = scratch.keep(open_.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    wanted = F.broadcast(ids) if ids.count() <= _BROADCAST else ids
-    own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).join(wanted, "id").mapInArrow(sets, "id long, set array<long>")
-    own = scratch.keep(own)
-    both = open_.join(own.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    links = links.unionByName(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"))
-    roots = connected_components(links, tag="near").select(F.col("node").alias("id"), "root")
+
+    def joined(links: DataFrame) -> DataFrame:
+        return scratch.keep(connected_components(links, tag="near"))
+
+    def verified(met: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """(node, root) after the links among the pairs met are added to those that gave the roots."""
+        close = scratch.keep(met.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, sure boolean"))
+        links = close.where("sure").select("a", "b")
+        roots = joined(links if roots is None else links.union(roots))
+        of = {c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"}
+        unsure = close.where("not sure").join(of["a"], "a", "left").join(of["b"], "b", "left")
+        unsure = scratch.keep(unsure.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+        ids = scratch.keep(unsure.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        n = ids.count()
+        if not n:
+            return roots
+        texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
+        own = scratch.keep(texts.join(F.broadcast(ids) if n <= _BROADCAST else ids, "id").mapInArrow(sets, "id long, set array<long>"))
+        both = unsure.join(own.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        return joined(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b").union(roots))
+
+    met = known.mapInArrow(cells, "cell long, id long, lane long").repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(_in_cells(_stars), "a long, b long")
+    roots = verified(scratch.keep(met.distinct()), None)
+    rooted = known.join(roots, F.col("id") == F.col("node"), "left").select("fp", "n", "id", F.coalesce("root", "id").alias("root"))
+    met = rooted.mapInArrow(cells, "cell long, id long, lane long, root long").repartition("cell").sortWithinPartitions("cell", "root").mapInArrow(_in_cells(_strangers), "a long, b long")
+    met = scratch.keep(met.distinct())
+    roots = (roots if met.isEmpty() else verified(met, roots)).select(F.col("node").alias("id"), "root")
     groups_ = points.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     return rows.join(groups_, "fp").select("id", "component_id")
 

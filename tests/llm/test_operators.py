@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,41 @@ def test_near_texts(spark, odd, none):
     assert simhash.near_text_groups(odd).count() == odd.count() and simhash.near_text_groups(none).count() == 0
 
 
+def test_pairs_in_cells():
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(2**63), 2**63, 4)
+    lane = [int(base[i % 4]) ^ sum({1 << int(j) for j in rng.integers(0, 63, i % 9)}) for i in range(300)]
+    rows = np.array([(c, i, lane[i]) for c in range(3) for i in range(300) if i % 3 <= c], "i8")
+    near = {(int(x[1]), int(y[1])) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and ((int(x[2]) ^ int(y[2])) & (2**64 - 1)).bit_count() <= simhash.FIRST_LANE}
+    batches = lambda r, n: [pa.RecordBatch.from_arrays([pa.array(c) for c in r[k : k + n].T], names=list("cilr")[: r.shape[1]]) for k in range(0, len(r), n)]
+    pairs = lambda find, r, n: {p for b in simhash._in_cells(find)(batches(r, n)) for p in zip(*b.to_pydict().values(), strict=True)}
+    for n in (7, 100, 5000):
+        stars = pairs(simhash._stars, rows, n)
+        assert stars <= near and len(stars) < len(rows)
+        root = np.array([groups_by_force(range(300), lambda a, b: (b, a) in stars)[i] for i in rows[:, 1]])
+        full = np.column_stack([rows, root])
+        full = full[np.lexsort((full[:, 3], full[:, 0]))]
+        of = dict(full[:, [1, 3]].tolist())
+        assert pairs(simhash._strangers, full, n) == {p for p in near if of[p[0]] != of[p[1]]}
+
+
+def test_near_text_families(spark):
+    """A large group of copies beside families of like texts: groups are those of all pairs of shingle sets at 0.8 or more."""
+    rng = np.random.default_rng(9)
+    texts = []
+    for f in range(4):
+        base = [f"f{f}w{w}" for w in rng.integers(0, 9999, 400)]
+        for changed in (*[2] * (60 if f == 0 else 3), *[20] * 10, *[60] * 4):
+            own = list(base)
+            for k in rng.choice(400, changed, replace=False):
+                own[k] = f"x{rng.integers(0, 10**9)}"
+            texts.append(" ".join(own))
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    want = groups_by_force(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    got = simhash.near_text_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["id"]: r["component_id"] for r in got} == want and len(set(want.values())) > 10
+
+
 def test_warc(spark):
     body = "x" * 120
     rows = [(3, "http://a/b c", body), (1, None, body), (2, "u", "short"), (5, "u", "short"), (4, "u", None), (None, "u", body), (3, "v", body), (9, "u", "é" * 60)]
