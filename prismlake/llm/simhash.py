@@ -229,8 +229,11 @@ def _stars(rows: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _strangers(rows: np.ndarray) -> np.ndarray:
-    """All pairs (smaller id, larger id) of a cell that are near and have different roots; ``rows`` are (cell, id, lane, root), sorted by cell and root."""
+def _strangers(rows: np.ndarray, most: int = 0) -> np.ndarray:
+    """All pairs (smaller id, larger id) of a cell that are near and have different roots; ``rows`` are (cell, id, lane, root), sorted by cell and root.
+
+    Where the other lanes follow, near pairs differ in at most ``most`` bits of all lanes, too.
+    """
     out = [np.empty((0, 2), "i8")]
     cell = np.flatnonzero(np.diff(rows[:, 0], append=rows[-1, 0] ^ 1)) + 1
     root = np.flatnonzero(np.diff(rows[:, 0], append=rows[-1, 0] ^ 1) | np.diff(rows[:, 3], append=rows[-1, 3] ^ 1)) + 1
@@ -238,7 +241,11 @@ def _strangers(rows: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(to < end)
     to = to[at]
     while len(at):
-        near = _differing(rows[at, 2], rows[to, 2]) <= FIRST_LANE
+        near = np.flatnonzero(_differing(rows[at, 2], rows[to, 2]) <= FIRST_LANE)
+        if rows.shape[1] > 4:
+            x, y = rows[at[near], 2:], rows[to[near], 2:]
+            far = _differing(x[:, 0], y[:, 0]) + _differing(x[:, 2:], y[:, 2:]).sum(1, dtype="i8")
+            near = near[far <= most]
         out.append(np.stack([rows[at[near], 1], rows[to[near], 1]], 1))
         to += 1
         more = to < end[at]
@@ -284,9 +291,10 @@ def near_text_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     joins yet are verified by their shingle sets, which are made for them alone.
 
     Pairs are taken in two rounds, so that a group of copies doesn't emit its square. First each cell gives stars,
-    fewer pairs than it has members, which join nearly all of a group. Then the cells are formed again and give all
-    the pairs that meet and aren't joined yet. A pair left out has both ends in one group already, so the groups
-    are those of all pairs that meet, in cells of every size. A cell's rows (32 bytes each) are held by one task.
+    fewer pairs than it has members, which join nearly all of a group. Then the cells are formed again and name the
+    texts that meet one they aren't joined with; those alone meet once more with whole fingerprints and give their
+    pairs. A pair left out has both ends in one group already, so the groups are those of all pairs that meet, in
+    cells of every size. A cell's rows (32 bytes each, at last 152) are held by one task.
 
     Equal texts are one point; texts without words link with one another only; ids are the smallest of equal
     fingerprints, null ids take no part (component null). Empty tables give empty results.
@@ -305,7 +313,9 @@ def near_text_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     rows = scratch.keep(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(prints, "id long, fp binary, n long"))
     points = scratch.keep(rows.groupBy("fp").agg(F.min("id").alias("id"), F.min("n").alias("n")))
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    others = [f"lane{k}" for k in range(1, lanes)]
+
+    def cells(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
@@ -315,9 +325,10 @@ def near_text_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
             both = np.stack([part + (bucket[:, None] << 32), part + ((bucket[:, None] + 1) << 32)], 2).ravel()
             each = 2 * groups
             own = [b.column(2).to_numpy(), fp[:, 0].view("i8"), *(c.to_numpy() for c in b.columns[3:])]
+            own += [fp[:, k].view("i8") for k in range(1, lanes) if others[k - 1] in names]
             for lo in range(0, b.num_rows, 256):
                 n = min(256, b.num_rows - lo)
-                yield pa.RecordBatch.from_arrays([pa.array(both[lo * each : (lo + n) * each]), *(pa.array(np.repeat(x[lo : lo + n], each)) for x in own)], names=["cell", "id", "lane", "root"][: 1 + len(own)])
+                yield pa.RecordBatch.from_arrays([pa.array(both[lo * each : (lo + n) * each]), *(pa.array(np.repeat(x[lo : lo + n], each)) for x in own)], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -354,11 +365,15 @@ def near_text_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
         common = F.size(F.array_intersect("x", "y"))
         return joined(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b").union(roots))
 
-    met = known.mapInArrow(cells, "cell long, id long, lane long").repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(_in_cells(_stars), "a long, b long")
-    roots = verified(scratch.keep(met.distinct()), None)
+    def meet(texts: DataFrame, find: Callable[[np.ndarray], np.ndarray], names: list[str], order: str) -> DataFrame:
+        placed = texts.mapInArrow(lambda batches: cells(batches, names), ", ".join(f"{x} long" for x in names))
+        return scratch.keep(placed.repartition("cell").sortWithinPartitions("cell", order).mapInArrow(_in_cells(find), "a long, b long").distinct())
+
+    narrow = ["cell", "id", "lane"]
+    roots = verified(meet(known, _stars, narrow, "id"), None)
     rooted = known.join(roots, F.col("id") == F.col("node"), "left").select("fp", "n", "id", F.coalesce("root", "id").alias("root"))
-    met = rooted.mapInArrow(cells, "cell long, id long, lane long, root long").repartition("cell").sortWithinPartitions("cell", "root").mapInArrow(_in_cells(_strangers), "a long, b long")
-    met = scratch.keep(met.distinct())
+    left = meet(rooted, lambda rows: np.repeat(np.unique(_strangers(rows))[:, None], 2, 1), [*narrow, "root"], "root")
+    met = meet(rooted.join(left.select(F.col("a").alias("id")), "id", "left_semi").select("fp", "n", "id", "root"), lambda rows: _strangers(rows, most), [*narrow, "root", *others], "root")
     roots = (roots if met.isEmpty() else verified(met, roots)).select(F.col("node").alias("id"), "root")
     groups_ = points.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     return rows.join(groups_, "fp").select("id", "component_id")
