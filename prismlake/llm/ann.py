@@ -112,11 +112,29 @@ def _lifted(x: np.ndarray, longest: float) -> np.ndarray:
     return np.concatenate([x, rest[:, None]], 1).astype("f4")
 
 
+def _alike(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """A row of each different row of x, and where the ids of each one's rows start (and end), with those ids, smallest first."""
+    x = np.ascontiguousarray(x)
+    _, first, which = np.unique(x.view(f"V{x.itemsize * x.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    order = np.lexsort([ids, which])
+    return first, (np.searchsorted(which[order], np.arange(len(first) + 1)), ids[order])
+
+
+def _spread(a: np.ndarray, b: np.ndarray, lists: tuple[np.ndarray, np.ndarray], most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a with each entry (the first ``most``) of b's list."""
+    start, held = lists
+    n = start[b + 1] - start[b]
+    n = n if most is None else np.minimum(n, most)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(a, n), held[np.repeat(start[b], n) + at]
+
+
 def nearest(table: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", shards: int | None = None, degree: int = DEGREE, beam: int = SEARCH_BEAM, build_beam: int = BUILD_BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its k rows of table with the largest inner products, its own id left out.
 
     Every usable row of table is in one of the shards (by hash of its id), which have a graph each. Each shard's
-    graph is searched for every query, in blocks of queries; scores are exact inner products of the original
+    graph is searched for every query, in blocks of queries. A graph has one point for each different vector, as
+    pruning would cut all copies but one off; found points give the smallest ids of their rows until there are k. Scores are exact inner products of the original
     vectors in double precision, ties go to smaller ids. Vectors that are null, zero or hold null or non-finite
     components, and null ids, take no part; neither do vectors of other lengths than most have. Repeated rows are
     found as often as they occur; with k or fewer candidates all come back; empty tables give empty results.
@@ -146,8 +164,12 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "ve
 
         def build():
             ids = np.concatenate([i for i, _ in own])
-            x = np.concatenate([v for _, v in own])
-            return ids, x, Graph(_lifted(x / longest, 1.0), degree, build_beam)
+            x = np.concatenate([v for _, v in own]) + 0.0
+            first, members = _alike(x, ids)
+            lifted = _lifted(x[first] / longest, 1.0)
+            node, vectors = _alike(lifted, np.arange(len(first)))
+            spare = int(np.unique(ids, return_counts=True)[1].max())
+            return members, x[first], vectors, spare, Graph(lifted[node], degree, build_beam)
 
         for batch in batches:
             for (s, asks), part in batch.groupby(["shard", "asks"], sort=True):
@@ -162,20 +184,32 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "ve
                 graph = graph or build()
                 yield from answer(ids, x, *graph)
 
-    def answer(ids, x, held, vectors, graph):
+    def answer(ids, x, members, vectors, points, spare, graph):
+        """A point of the graph stands for vectors, and a vector for the ids of its rows; ``spare`` rows of one may be the query's own."""
         for lo in range(0, len(ids), TOGETHER):
             q = x[lo : lo + TOGETHER]
             hit, _ = graph.search(np.concatenate([q / np.abs(q).max(1, keepdims=True), np.zeros((len(q), 1))], 1).astype("f4"), max(beam, 2 * k))
             a, b = np.nonzero(hit >= 0)
-            b = hit[a, b]
-            fit = held[b] != ids[lo + a]
-            a, b = a[fit], b[fit]
+            a, b = _spread(a, hit[a, b], points)
             score = np.einsum("ij,ij->i", q[a], vectors[b])
-            order = np.lexsort([held[b], -score, a])
+            order = np.lexsort([-score, a])
+            a, b, score = a[order], b[order], score[order]
+            rows = np.cumsum(np.diff(members[0])[b])
+            start = np.searchsorted(a, a)
+            full = np.flatnonzero(rows - np.where(start > 0, rows[start - 1], 0) >= k + spare)
+            least = np.full(len(q), -np.inf)
+            least[a[full[::-1]]] = score[full[::-1]]
+            fit = score >= least[a]
+            score = score[fit]
+            at, b = _spread(np.flatnonzero(fit), b[fit], members, k + spare)
+            a, score = a[at], score[np.searchsorted(np.flatnonzero(fit), at)]
+            fit = b != ids[lo + a]
+            a, b, score = a[fit], b[fit], score[fit]
+            order = np.lexsort([b, -score, a])
             a, b, score = a[order], b[order], score[order]
             place = np.arange(len(a)) - np.searchsorted(a, a)
             top = place < k
-            yield pd.DataFrame({"query_id": ids[lo + a[top]], "vec_id": held[b[top]], "score": score[top]})
+            yield pd.DataFrame({"query_id": ids[lo + a[top]], "vec_id": b[top], "score": score[top]})
 
     found = both.repartition(count, "shard").sortWithinPartitions("shard", "asks").mapInPandas(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -284,6 +284,24 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), df).count() == 0 and ann.nearest(df.limit(5), df.limit(5)).count() == 20
 
 
+def test_nearest_of_copies(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((900, 12)).astype("f4").astype("f8")
+    x[rng.permutation(900)[:300]] = x[np.repeat([0, 20, 41], [200, 60, 40])]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(40, x[40].tolist())] * 30, "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0").dropDuplicates(["vec_id"])).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    ids = np.append(np.arange(900), [40] * 30)
+    right = 0
+    for q in range(0, 900, 20):
+        score = (x @ x[q])[ids]
+        want = [int(ids[j]) for j in np.lexsort([ids, -score.round(9)]) if ids[j] != q][:20]
+        have = [i for _, i in sorted(got[q])]
+        right += sum(min(have.count(i), want.count(i)) for i in set(want))
+    assert right >= 0.99 * 45 * 20
+
+
 def test_mix(docs, odd, none):
     got = mixing.mix(docs).toPandas()
     own = got.groupby("source").agg(size=("size", "sum"), want=("target", "first"), taken=("taken", "sum"), most=("size", "max"))
