@@ -1,4 +1,4 @@
-"""Embedding near-duplicates by sorted projection passes."""
+"""Embedding near-duplicates by all pairs of a label, in blocks."""
 
 from __future__ import annotations
 
@@ -10,10 +10,10 @@ from prismlake.plans.components import connected_components
 from prismlake.plans.ordering import ranked
 from prismlake.plans.scratch import Scratch
 
-#: Orders that vectors are sorted by, the neighbours each is compared with in one, and the hash bits of a key.
-PASSES, WINDOW, HASH_BITS = 12, 64, 62
-#: Rows of a block of an order, and of a block of a component.
-BLOCK, CHUNK = 4096, 1024
+#: Rows of a block, of the chunks of one that are told apart by their balls, and those compared at a time.
+BLOCK, CHUNK, WINDOW = 4096, 1024, 64
+#: Bits of the key that points are sorted by.
+HASH_BITS = 62
 
 
 def usable(vector: Column) -> Column:
@@ -29,89 +29,79 @@ def unit(vectors: pd.Series) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _keys(vectors: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
-    """(pass, label, width, key, id): key has the signs of the pass's random projections, first one highest."""
+def _keys(vectors: DataFrame, bits: int, seed: int) -> DataFrame:
+    """(label, width, key, k1, k2, id): key has the signs of random projections, first one highest."""
 
     def run(batches):
         planes: dict[int, np.ndarray] = {}
         for rows in batches:
             for width, own in rows.groupby(rows.vector.map(len)):
                 if width not in planes:
-                    planes[width] = np.random.default_rng([seed, width]).standard_normal((width, passes * bits))
-                signs = ((unit(own.vector) @ planes[width]) > 0).reshape(len(own), passes, bits)
-                key = signs @ (1 << np.arange(bits - 1, -1, -1, dtype="i8"))
-                yield pd.DataFrame({"pass": np.tile(np.arange(passes, dtype="i4"), len(own)), "label": np.repeat(own.label.to_numpy(), passes), "width": np.int32(width), "key": key.ravel(), "id": np.repeat(own.id.to_numpy(), passes)})
+                    planes[width] = np.random.default_rng([seed, width]).standard_normal((width, bits))
+                key = ((unit(own.vector) @ planes[width]) > 0) @ (1 << np.arange(bits - 1, -1, -1, dtype="i8"))
+                yield own[["label", "k1", "k2", "id"]].assign(width=np.int32(width), key=key)[["label", "width", "key", "k1", "k2", "id"]]
 
     kind = dict(vectors.dtypes)["label"]
-    return vectors.mapInPandas(run, f"pass int, label {kind}, width int, key long, id long")
+    return vectors.mapInPandas(run, f"label {kind}, width int, key long, k1 long, k2 long, id long")
 
 
-def _forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict[int, int]:
-    """Root of each id that is an end of a link (positions a, b into ids)."""
-    up: dict[int, int] = {}
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Root (smallest position) of each position after the links a, b."""
+    while (apart := root[a] != root[b]).any():
+        a, b = a[apart], b[apart]
+        up = root.copy()
+        np.minimum.at(up, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while (up != up[up]).any():
+            up = up[up]
+        root = up[root]
+    return root
 
-    def root(x: int) -> int:
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
 
-    for x, y in zip(ids[a].tolist(), ids[b].tolist(), strict=True):
-        x, y = root(x), root(y)
-        if x != y:
-            up[max(x, y)] = min(x, y)
-    return {x: root(x) for x in list(up)}
+def _links(least: float, chunk: int, window: int):
+    """For the rows of two blocks, or of one: with how many vectors (copies counted) each links, and a link to its component's first.
 
-
-def _window_links(least: float, window: int, step: int = 256):
-    """For a block's rows, links that span the components its verified pairs make."""
+    Chunks whose balls are too far apart for a link are not compared.
+    """
+    reach = np.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        links: list[tuple[int, int]] = []
-        for _, own in rows.groupby(["pass", "label", "width"], sort=False):
+        i, j, out = rows.i.iloc[0], rows.j.iloc[0], [pd.DataFrame({"id": [], "links": [], "root": []}, dtype="int64")]
+        for _, own in rows.groupby(["label", "width"], sort=False):
             own = own.sort_values("rank")
-            rank, ids, x = own["rank"].to_numpy(), own["id"].to_numpy(), unit(own.vector)
-            ends_a, ends_b = [], []
-            for s in range(0, len(own), step):
-                e = min(len(own), s + step + window)
-                a, b = np.nonzero(x[s : s + step] @ x[s:e].T >= least)
-                near = (b > a) & (rank[s + b] - rank[s + a] <= window)
-                ends_a.append(a[near] + s)
-                ends_b.append(b[near] + s)
-            links += _forest(ids, np.concatenate(ends_a), np.concatenate(ends_b)).items()
-        return pd.DataFrame([x for x in links if x[0] != x[1]], columns=["a", "b"], dtype="int64")
-
-    return run
-
-
-def _count_links(least: float):
-    """How many vectors (copies counted) each row links with, between two chunks of components or within one."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        first, out = rows.i.iloc[0], []
-        for _, own in rows.groupby(["root", "width"], sort=False):
             x, ids, n = unit(own.vector), own["id"].to_numpy(), own.n.to_numpy()
-            near = x @ x.T >= least
-            np.fill_diagonal(near, False)
-            if first != rows.j.iloc[0]:
-                side = own.chunk.to_numpy() == first
-                near &= side[:, None] != side[None, :]
-            else:
-                near &= (own.chunk.to_numpy() == first)[:, None]
-            out.append(pd.DataFrame({"id": ids, "links": near @ n}))
-        return pd.concat(out)
+            middle = int((own.block == i).sum()) if i != j else 0
+            spans = [(s, min(s + chunk, e)) for lo, e in ((0, middle), (middle, len(own))) for s in range(lo, e, chunk)]
+            centres = np.stack([x[s:e].mean(0) for s, e in spans])
+            radii = np.array([np.sqrt(((x[s:e] - c) ** 2).sum(1).max()) for (s, e), c in zip(spans, centres, strict=True)])
+            links, root = np.zeros(len(own), "i8"), np.arange(len(own))
+            for p, (s, e) in enumerate(spans):
+                gaps = np.sqrt(((centres - centres[p]) ** 2).sum(1)) - radii - radii[p]
+                for q, (lo, hi) in enumerate(spans):
+                    if q < p or gaps[q] > reach or (i != j and (s < middle) == (lo < middle)):
+                        continue
+                    for at in range(s, e, window):
+                        a, b = np.nonzero(x[at : min(at + window, e)] @ x[lo:hi].T >= least)
+                        a, b = a + at, b + lo
+                        if p == q:
+                            fit = a < b
+                            a, b = a[fit], b[fit]
+                        if len(a):
+                            links += np.bincount(a, n[b], len(own)).astype("i8") + np.bincount(b, n[a], len(own)).astype("i8")
+                            root = _join(root, a, b)
+            got = np.flatnonzero(links)
+            out.append(pd.DataFrame({"id": ids[got], "links": links[got], "root": ids[root[got]]}))
+        return pd.concat(out).astype("int64")
 
     return run
 
 
-def near_vectors(table: DataFrame, least: float = 0.98, passes: int = PASSES, window: int = WINDOW, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", seed: int = 7, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+def near_vectors(table: DataFrame, least: float = 0.98, window: int = WINDOW, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", seed: int = 7, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of table.
 
     Vectors with equal, non-null labels link at a cosine of ``least`` or more, in double precision. Equal vectors
-    are one point. In each pass points are sorted by label and the signs of ``HASH_BITS`` random projections, and
-    each is compared with the ``window`` next ones; verified pairs of all passes make components. Within a
-    component all pairs are then compared, in blocks, so that neither the window nor the passes bound anybody's
-    links there. A link is missed only if no chain of found pairs joins its ends.
+    are one point. Points are sorted by label and the signs of ``HASH_BITS`` random projections and cut into blocks;
+    each two blocks with a common label are compared, all pairs but those of ``chunk`` rows whose balls are too far
+    apart. So no link is missed; the work grows with the square of a label's different vectors.
 
     Vectors that are null, empty, zero or hold null or non-finite components, null labels and null ids link with
     nothing (n_links 0, component_id the own id, kept true; null ids: component_id and kept null). Vectors of
@@ -125,23 +115,17 @@ def near_vectors(table: DataFrame, least: float = 0.98, passes: int = PASSES, wi
     good = rows.where("ok")
     classes = scratch.keep(good.groupBy("label", "k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
     kept = good.join(classes.withColumnsRenamed({"label": "l", "k1": "x1", "k2": "x2"}), (F.col("label") == F.col("l")) & (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2")) & (F.col("id") == F.col("rep")))
-    points = scratch.keep(kept.dropDuplicates(["label", "k1", "k2"]).select("id", "vector", "label", "n"))
-    order = ranked(_keys(points, passes, HASH_BITS, seed), ["pass", "label", "width", "key", "id"], scratch)
-    at = F.floor(F.col("rank") / block)
-    tail = (F.col("rank") % block < window) & (at > 0)
-    placed = order.select("pass", "label", "width", "id", "rank", F.explode(F.when(tail, F.array(at, at - 1)).otherwise(F.array(at))).alias("block"))
-    blocks = placed.join(points.select("id", "vector", F.col("label").alias("l")), "id").where(F.col("l") == F.col("label")).drop("l")
-    links = scratch.keep(blocks.groupBy("block").applyInPandas(_window_links(least, window), "a long, b long").distinct())
-    roots = scratch.keep(connected_components(links, tag="vectors"))
-
-    placed = ranked(roots, ["root", "node"], scratch).select("node", "root", F.floor(F.col("rank") / chunk).alias("chunk"))
-    placed = scratch.keep(placed)
-    spans = placed.groupBy("root").agg(F.min("chunk").alias("from"), F.max("chunk").alias("to"))
-    grid = placed.join(spans, "root").select("*", F.explode(F.sequence("from", "to")).alias("other"))
-    grid = grid.select("root", "chunk", F.col("node").alias("id"), F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    full = grid.join(points.select("id", "vector", "n", F.size("vector").alias("width")), "id")
-    counts = full.groupBy("i", "j").applyInPandas(_count_links(least), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
-    known = roots.join(counts, F.col("node") == F.col("id"), "left").select("node", "root", F.coalesce("links", F.lit(0)).alias("links"))
+    points = scratch.keep(kept.dropDuplicates(["label", "k1", "k2"]).select("id", "vector", "label", "k1", "k2", "n"))
+    order = ranked(_keys(points, HASH_BITS, seed), ["label", "width", "key", "id", "k1", "k2"], scratch)
+    placed = scratch.keep(order.withColumn("block", F.floor(F.col("rank") / block)))
+    spans = placed.groupBy("label", "width").agg(F.min("block").alias("from"), F.max("block").alias("to"))
+    grid = placed.join(spans, ["label", "width"]).select("label", "width", "rank", "block", "k1", "k2", "id", F.explode(F.sequence("from", "to")).alias("other"))
+    grid = grid.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    full = grid.join(points.select("label", "k1", "k2", "vector", "n"), ["label", "k1", "k2"])
+    near = scratch.keep(full.select("i", "j", "label", "width", "rank", "block", "id", "n", "vector").groupBy("i", "j").applyInPandas(_links(least, chunk, window), "id long, links long, root long"))
+    roots = connected_components(near.select(F.col("id").alias("a"), F.col("root").alias("b")), tag="vectors")
+    counts = near.groupBy("id").agg(F.sum("links").alias("links"))
+    known = counts.join(roots, F.col("node") == F.col("id"), "left").select(F.col("id").alias("node"), F.coalesce("root", "id").alias("root"), "links")
     by_class = classes.join(known, F.col("rep") == F.col("node"), "left").select(F.col("label").alias("l"), F.col("k1").alias("x1"), F.col("k2").alias("x2"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component"))
     out = rows.join(by_class, F.col("ok") & (F.col("label") == F.col("l")) & (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2")), "left")
     component = F.coalesce("component", "id")

@@ -97,6 +97,28 @@ def test_near_vectors(spark):
     assert embed_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_in_a_dense_label(spark):
+    rng = np.random.default_rng(9)
+    n, dims, pairs = 12_000, 64, 300
+    centre = rng.standard_normal(dims)
+    centre /= np.sqrt(centre @ centre)
+
+    def off(rows, around, cosine):
+        e = rng.standard_normal((rows, dims))
+        e -= (e * around).sum(-1, keepdims=True) * around
+        return cosine * around + np.sqrt(1 - cosine**2) * e / np.sqrt((e * e).sum(1, keepdims=True))
+
+    x = off(n, centre, np.sqrt(0.93))
+    x[-pairs:] = off(pairs, x[:pairs], 0.981)
+    x = x.astype("f4").astype("f8")
+    y = x / np.sqrt((x * x).sum(1, keepdims=True))
+    want = np.concatenate([(y[s : s + 2000] @ y.T >= 0.98).sum(1) for s in range(0, n, 2000)]) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r for r in embed_dedup.near_vectors(df).collect()}
+    assert want.sum() >= 2 * pairs and sum(got[i]["n_links"] for i in got) == want.sum()
+    assert all(got[i]["n_links"] == want[i] for i in got) and all(got[n - pairs + i]["component_id"] == got[i]["component_id"] for i in range(pairs))
+
+
 def test_simhash(docs, odd, none):
     for df in (docs, odd):
         got = simhash.simhash_groups(df).collect()
