@@ -25,6 +25,14 @@ def test_stages(spark):
     assert cp.STAGES[-1][1](spark, docs, SF).agg({"tokens": "sum"}).first()[0] == total
 
 
+def test_near_copies_of_rows_without_own_id(spark):
+    rows = [(None, "a"), (None, "b"), (None, "a"), (3, "c"), (3, "d"), (3, "c"), (7, "b"), (9, "e"), (5, "e"), (None, "e")]
+    words = {t: " ".join(f"{t}{i}" for i in range(60)) for t in "abcde"}
+    docs = spark.createDataFrame([(i, words[t], "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"][0]) for r in cp.drop_near_copies(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(None, "a"), (7, "b"), (3, "c"), (3, "d"), (5, "e")], key=str)
+
+
 def test_oracles(spark):
     for name, sql in queries.ORACLES.items():
         same(queries.QUERIES[name](spark, SF), sql, SF)
