@@ -230,6 +230,18 @@ def structured_response(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", parsers.structured_response(text).alias("r")).select("doc_id", "r.*")
 
 
+@query(f"""
+SELECT doc_id, t AS description, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'a, b' END AS tags, CASE WHEN doc_id % 3 = 1 THEN t ELSE '' END AS ocr_text
+FROM (SELECT doc_id, trim('x' || {_FLAT}) AS t FROM documents)
+""")
+def structured_response_whole(spark, sf_dir):
+    """Whole texts, as a response without labels and as the values of labels."""
+    k, flat = F.col("doc_id") % 3, F.trim(F.concat(F.lit("x"), F.regexp_replace("text", r"\s+", " ")))
+    labelled = F.concat(F.lit("DESCRIPTION: one\r\n  DESCRIPTION:  "), flat, F.lit(" \nTAGS: a, b\nTEXT: "), F.when(k == 1, flat).otherwise("None"), F.lit("\n"))
+    text = F.when(k == 0, flat).otherwise(labelled)
+    return table(spark, sf_dir, "documents").select("doc_id", parsers.structured_response(text).alias("r")).select("doc_id", "r.*")
+
+
 @query(f"""
 SELECT doc_id, CASE WHEN length(t) > 240 THEN left(t, 240) || '…' ELSE t END AS tail FROM (SELECT doc_id, trim('x' || {_FLAT}) AS t FROM documents)
 """)
