@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from prismlake.llm import ann, embed_dedup, langid, mixing, packing, pii, repair_ids, sharding, simhash, warc
+from prismlake.llm import ann, embed_dedup, langid, mixing, near_texts, packing, pii, repair_ids, sharding, simhash, warc
 from prismlake.plans.components import connected_components
 from prismlake.plans.scratch import new_path
 
@@ -141,27 +141,56 @@ def test_crowded_cells(spark):
 def test_near_texts(spark, odd, none):
     words = [f"word{i}" for i in range(300)]
     copies = [(i, " ".join([*words[: 20 * i], "changed", *words[20 * i + 1 :]])) for i in range(1, 12)] + [(0, " ".join(words)), (50, " ".join(words[::-1]))]
-    got = {r["id"]: r["component_id"] for r in simhash.near_text_groups(spark.createDataFrame(copies, "doc_id long, text string")).collect()}
+    got = {r["id"]: r["component_id"] for r in near_texts.near_text_groups(spark.createDataFrame(copies, "doc_id long, text string")).collect()}
     assert got == {i: 0 for i in range(12)} | {50: 50}
-    assert simhash.near_text_groups(odd).count() == odd.count() and simhash.near_text_groups(none).count() == 0
+    assert near_texts.near_text_groups(odd).count() == odd.count() and near_texts.near_text_groups(none).count() == 0
 
 
-def test_pairs_in_cells():
+def test_rows_near_in_blocks():
     rng = np.random.default_rng(5)
-    base = rng.integers(-(2**63), 2**63, 4)
-    lane = [int(base[i % 4]) ^ sum({1 << int(j) for j in rng.integers(0, 63, i % 9)}) for i in range(300)]
-    rows = np.array([(c, i, lane[i]) for c in range(3) for i in range(300) if i % 3 <= c], "i8")
-    near = {(int(x[1]), int(y[1])) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and ((int(x[2]) ^ int(y[2])) & (2**64 - 1)).bit_count() <= simhash.FIRST_LANE}
-    batches = lambda r, n: [pa.RecordBatch.from_arrays([pa.array(c) for c in r[k : k + n].T], names=list("cilr")[: r.shape[1]]) for k in range(0, len(r), n)]
-    pairs = lambda find, r, n: {p for b in simhash._in_cells(find)(batches(r, n)) for p in zip(*b.to_pydict().values(), strict=True)}
-    for n in (7, 100, 5000):
-        stars = pairs(simhash._stars, rows, n)
-        assert stars <= near and len(stars) < len(rows)
-        root = np.array([groups_by_force(range(300), lambda a, b: (b, a) in stars)[i] for i in rows[:, 1]])
-        full = np.column_stack([rows, root])
-        full = full[np.lexsort((full[:, 3], full[:, 0]))]
-        of = dict(full[:, [1, 3]].tolist())
-        assert pairs(simhash._strangers, full, n) == {p for p in near if of[p[0]] != of[p[1]]}
+    base = rng.integers(0, 2**63, (4, 2)).astype("u8")
+    fp = np.array([[int(x) ^ sum({1 << int(j) for j in rng.integers(0, 63, i % 9)}) for x in base[i % 4]] for i in range(400)], "u8")
+    key = np.repeat([3, 5, 9, 11], [1, 40, 159, 200])
+    near = [[j for j in range(400) if key[i] == key[j] and (fp[i] ^ fp[j]).tolist() and sum(int(x).bit_count() for x in fp[i] ^ fp[j]) <= 12] for i in range(400)]
+    met, first = near_texts._first_near(key, fp, 12)
+    assert met.tolist() == [len(x) > 1 for x in near] and first.tolist() == [x[0] for x in near]
+    table = pa.table({"block": key, "node": np.arange(400)})
+    for n in (7, 50, 1000):
+        blocks = list(near_texts._whole_blocks(iter(table.to_batches(max_chunksize=n))))
+        assert pa.concat_tables(blocks).equals(table) and sum(len(set(b["block"].to_pylist())) for b in blocks) == 4
+
+
+def test_forest_and_common():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 60, (2, 50))
+    label, kept = near_texts._forest(np.arange(60), a, b)
+    want = groups_by_force(range(60), lambda x, y: any((x, y) in ((p, q), (q, p)) for p, q in zip(a, b)))
+    assert label.tolist() == list(want.values()) and len(kept) == 60 - len(set(want.values()))
+    sets = [rng.choice(9000, n, replace=False).tolist() for n in (0, 1, 50, 8000, 3000, 70)]
+    p, q = np.triu_indices(6, 1)
+    got = near_texts._common(pa.array(sets, pa.list_(pa.int64())), p, q)
+    assert got.tolist() == [len(set(sets[x]) & set(sets[y])) for x, y in zip(p, q)]
+
+
+def test_near_pairs_at_the_threshold(spark):
+    """Planted pairs a little over 0.8, long and short ones; none of the short ones is missed, and no other text links."""
+    rng, texts, want = np.random.default_rng(12), [], 0
+    for k in range(1200):
+        n = int(rng.integers(3, 36)) if k % 3 == 0 else int(rng.integers(60, 300))
+        own = [f"w{x}" for x in rng.integers(0, 10**7, n + 4)]
+        cut = int(rng.integers(0, max(1, n // 5)))
+        like = own[: len(own) - cut] if k % 2 else [*own[: len(own) - cut // 2], *(f"x{x}" for x in rng.integers(0, 10**7, cut // 2))]
+        texts += [" ".join(own), " ".join(like)]
+    sets = [near_texts.shingle_set(t, 5) for t in texts]
+    pair = [len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]) for i in range(0, len(texts), 2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in near_texts.near_text_groups(docs).collect()}
+    assert all(got[2 * k] == 2 * k and got[2 * k + 1] in (2 * k, 2 * k + 1) for k in range(1200))
+    found = [got[2 * k + 1] == 2 * k for k in range(1200)]
+    assert not any(f and not p for f, p in zip(found, pair))
+    short = [min(len(sets[2 * k]), len(sets[2 * k + 1])) <= near_texts.SHORT for k in range(1200)]
+    assert all(f for f, p, s in zip(found, pair, short) if p and s) and sum(pair) > 900
+    assert sum(f for f, p, s in zip(found, pair, short) if p and not s) >= 0.98 * sum(p and not s for p, s in zip(pair, short))
 
 
 def test_near_text_families(spark):
@@ -175,10 +204,12 @@ def test_near_text_families(spark):
             for k in rng.choice(400, changed, replace=False):
                 own[k] = f"x{rng.integers(0, 10**9)}"
             texts.append(" ".join(own))
-    sets = [simhash.shingle_set(t, 5) for t in texts]
+    sets = [near_texts.shingle_set(t, 5) for t in texts]
     want = groups_by_force(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
-    got = simhash.near_text_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert {r["id"]: r["component_id"] for r in got} == want and len(set(want.values())) > 10
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for crowd in (near_texts.CROWD, 8):
+        got = near_texts.near_text_groups(docs, crowd=crowd).collect()
+        assert {r["id"]: r["component_id"] for r in got} == want and len(set(want.values())) > 10
 
 
 def test_warc(spark):
