@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,8 @@ from prismlake.plans.scratch import Scratch
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 64, 160, 1.2
 #: Shards at least, and rows of one at most.
 SHARDS, SHARD_ROWS = 6, 200_000
-#: Queries that are searched in lockstep.
-TOGETHER = 512
+#: Queries that are searched in lockstep, marks of what they have seen at most, and points that each opens at a time.
+TOGETHER, MARKS, OPEN = 512, 1 << 26, 4
 
 
 class Graph:
@@ -41,30 +42,43 @@ class Graph:
 
     def _near(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Squared distances, less the query's own square, of rows ids (b, k) to queries (b, d); -1 gives infinity."""
-        d = self.sq[ids] - 2 * np.einsum("bkd,bd->bk", self.x[ids], q)
+        d = self.sq[ids] - 2 * (self.x[ids] @ q[:, :, None])[:, :, 0]
         return np.where(ids < 0, np.inf, d)
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The beam of each query: ids (b, beam), -1 where there are fewer, and their distances, nearest first."""
+        step = max(1, MARKS // max(1, len(self.x)))
+        if len(q) > step:
+            parts = [self.search(q[lo : lo + step], beam) for lo in range(0, len(q), step)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         b = len(q)
         ids, far = np.full((b, beam), -1, "i4"), np.full((b, beam), np.inf, "f4")
         ids[:, 0] = self.entry
         far[:, 0] = self._near(q, ids[:, :1])[:, 0]
-        open_ = ids >= 0
+        seen = np.zeros((b, len(self.x) + 1), bool)  # the last column stands for none
+        seen[:, [self.entry, -1]] = True
+        shut = ids < 0
         rows = np.arange(b)
         while len(rows):
-            pick = open_[rows].argmax(1)
-            node = ids[rows, pick]
-            open_[rows, pick] = False
-            new = self.out[node]
-            new = np.where((new[:, :, None] == ids[rows][:, None, :]).any(2), -1, new)
-            d = self._near(q[rows], new).astype("f4")
-            all_ids, all_far = np.concatenate([ids[rows], new], 1), np.concatenate([far[rows], d], 1)
-            all_open = np.concatenate([open_[rows], new >= 0], 1)
+            pick = np.argsort(shut[rows], 1, kind="stable")[:, :OPEN]
+            node = np.where(np.take_along_axis(shut[rows], pick, 1), -1, np.take_along_axis(ids[rows], pick, 1))
+            shut[rows[:, None], pick] = True
+            new = np.where(node[:, :, None] < 0, -1, self.out[node]).reshape(len(rows), -1)
+            new = np.where(seen[rows[:, None], new], -1, new)
+            at, place = np.nonzero(new >= 0)
+            one = np.full((len(rows), new.shape[1]), np.inf, "f4")
+            got = new[at, place]
+            first = np.unique(at * np.int64(len(self.x)) + got, return_index=True)[1]  # points that two of them lead to
+            at, place, got = at[first], place[first], got[first]
+            seen[rows[at], got] = True
+            one[at, place] = self.sq[got] - 2 * np.einsum("kd,kd->k", self.x[got], q[rows[at]])
+            all_ids, all_far = np.concatenate([ids[rows], new], 1), np.concatenate([far[rows], one], 1)
+            all_shut = np.concatenate([shut[rows], np.isinf(one)], 1)
             keep = np.argsort(all_far, 1, kind="stable")[:, :beam]
-            ids[rows], far[rows] = np.take_along_axis(all_ids, keep, 1), np.take_along_axis(all_far, keep, 1)
-            open_[rows] = np.take_along_axis(all_open, keep, 1) & (ids[rows] >= 0)
-            rows = rows[open_[rows].any(1)]
+            far[rows] = np.take_along_axis(all_far, keep, 1)
+            ids[rows] = np.where(np.isinf(far[rows]), -1, np.take_along_axis(all_ids, keep, 1))
+            shut[rows] = np.take_along_axis(all_shut, keep, 1) | (ids[rows] < 0)
+            rows = rows[~shut[rows].all(1)]
         return ids, far
 
     def _prune(self, nodes: np.ndarray, cand: np.ndarray, alpha: float) -> np.ndarray:
@@ -74,7 +88,7 @@ class Graph:
         cand = np.take_along_axis(cand, order, 1)
         cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
         own = self._near(self.x[nodes], cand) + self.sq[nodes][:, None]
-        vec = self.x[cand]
+        vec, square = self.x[cand], self.sq[cand]
         out, left = np.full((len(nodes), self.degree), -1, "i4"), own.copy()
         row = np.arange(len(nodes))
         for k in range(self.degree):
@@ -84,8 +98,8 @@ class Graph:
                 break
             out[live, k] = cand[row, best][live]
             chosen = vec[row, best]
-            between = self.sq[cand] + np.einsum("bd,bd->b", chosen, chosen)[:, None] - 2 * np.einsum("bkd,bd->bk", vec, chosen)
-            left = np.where(alpha * alpha * between <= own, np.inf, left)
+            between = square + np.einsum("bd,bd->b", chosen, chosen)[:, None] - 2 * (vec @ chosen[:, :, None])[:, :, 0]
+            left[alpha * alpha * between <= own] = np.inf
             left[row, best] = np.inf
         return out
 
@@ -97,6 +111,15 @@ class Graph:
         order = np.argsort(dst, kind="stable")
         src, dst = src[order], dst[order]
         heads, start, size = np.unique(dst, return_index=True, return_counts=True)
+        held = (self.out[heads] >= 0).sum(1)
+        room = held + size <= self.degree  # these take the new edges as they are, but those they have
+        of = np.repeat(np.arange(len(heads)), size)
+        new = room[of] & (self.out[dst] != src[:, None]).all(1)
+        of, which = of[new], src[new]
+        self.out[heads[of], held[of] + np.arange(len(of)) - np.searchsorted(of, of)] = which
+        heads, start, size = heads[~room], start[~room], size[~room]
+        order = np.argsort(size, kind="stable")
+        heads, start, size = heads[order], start[order], size[order]
         for lo in range(0, len(heads), TOGETHER):
             h, s, c = heads[lo : lo + TOGETHER], start[lo : lo + TOGETHER], size[lo : lo + TOGETHER]
             most = int(c.max())
@@ -129,15 +152,23 @@ def _spread(a: np.ndarray, b: np.ndarray, lists: tuple[np.ndarray, np.ndarray],
     return np.repeat(a, n), held[np.repeat(start[b], n) + at]
 
 
+def _dealt(spark: SparkSession, count: int) -> DataFrame:
+    """(shard, deal): numbers that Spark's hash deals to as many tasks as there are shards, one each."""
+    n = F.pmod(F.hash("deal"), F.lit(count))
+    return spark.range(24 * count + 100).select(F.col("id").alias("deal")).groupBy(n.alias("shard")).agg(F.min("deal").alias("deal"))
+
+
 def nearest(table: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", shards: int | None = None, degree: int = DEGREE, beam: int = SEARCH_BEAM, build_beam: int = BUILD_BEAM) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query its k rows of table with the largest inner products, its own id left out.
+    """(query_id, rank, vec_id, score): for each query its k rows of table with the largest inner products, those of its own id left out.
 
     Every usable row of table is in one of the shards (by hash of its id), which have a graph each. Each shard's
     graph is searched for every query, in blocks of queries. A graph has one point for each different vector, as
     pruning would cut all copies but one off; found points give the smallest ids of their rows until there are k. Scores are exact inner products of the original
     vectors in double precision, ties go to smaller ids. Vectors that are null, zero or hold null or non-finite
     components, and null ids, take no part; neither do vectors of other lengths than most have. Repeated rows are
-    found as often as they occur; with k or fewer candidates all come back; empty tables give empty results.
+    found as often as they occur; queries that repeat an id and its vector are asked once, those that give one id
+    several vectors are asked and ranked each by itself. With k or fewer candidates all come back; empty tables give
+    empty results.
     """
     spark, scratch = table.sparkSession, Scratch(table.sparkSession, "nearest")
 
@@ -146,17 +177,20 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "ve
         return df.where(usable(v) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), v.cast("array<double>").alias("vector"))
 
     rows = scratch.keep(ready(table).withColumn("w", F.size("vector")))
-    size = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    widths = rows.groupBy("w").agg(F.count("*").alias("n"), F.max(size).alias("sq")).orderBy(F.desc("n"), "w").first()
+    top = F.array_max(F.transform("vector", F.abs))
+    length = F.least(top * F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / top) * (x / top))), F.lit(sys.float_info.max))
+    widths = rows.groupBy("w").agg(F.count("*").alias("n"), F.max(length).alias("longest")).orderBy(F.desc("n"), "w").first()
     schema = "query_id long, rank int, vec_id long, score double"
     if widths is None:
         return spark.createDataFrame([], schema)
-    width, longest = widths["w"], float(widths["sq"]) ** 0.5
+    width, longest = widths["w"], float(widths["longest"])
     count = shards or max(SHARDS, -(-widths["n"] // SHARD_ROWS))
     shard = F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
-    asked = ready(queries).where(F.size("vector") == width)
-    every = asked.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("shard"), F.lit(True).alias("asks"), "id", "vector")
-    both = rows.where(F.col("w") == width).select(shard.alias("shard"), F.lit(False).alias("asks"), "id", "vector").unionByName(every)
+    asked = ready(queries).where(F.size("vector") == width).groupBy("id", F.xxhash64("vector").alias("which")).agg(F.first("vector").alias("vector"))
+    every = asked.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("shard"), F.lit(True).alias("asks"), "id", "which", "vector")
+    both = rows.where(F.col("w") == width).select(shard.alias("shard"), F.lit(False).alias("asks"), "id", F.lit(0).cast("long").alias("which"), "vector").unionByName(every)
+    deal = scratch.keep(_dealt(spark, count))
+    both = both.join(F.broadcast(deal) if count <= 100_000 else deal, "shard", "left").withColumn("deal", F.coalesce("deal", "shard"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows of whole shards, each shard's own rows before its queries."""
@@ -175,16 +209,16 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "ve
             for (s, asks), part in batch.groupby(["shard", "asks"], sort=True):
                 if s != at:
                     own, at, graph = [], s, None
-                ids, x = part["id"].to_numpy(), np.stack(part.vector.to_numpy()).astype("f8")
+                ids, which, x = part["id"].to_numpy(), part["which"].to_numpy(), np.stack(part.vector.to_numpy()).astype("f8")
                 if not asks:
                     own.append((ids, x))
                     continue
                 if not own:
                     continue
                 graph = graph or build()
-                yield from answer(ids, x, *graph)
+                yield from answer(ids, which, x, *graph)
 
-    def answer(ids, x, members, vectors, points, spare, graph):
+    def answer(ids, which, x, members, vectors, points, spare, graph):
         """A point of the graph stands for vectors, and a vector for the ids of its rows; ``spare`` rows of one may be the query's own."""
         for lo in range(0, len(ids), TOGETHER):
             q = x[lo : lo + TOGETHER]
@@ -209,10 +243,10 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "ve
             a, b, score = a[order], b[order], score[order]
             place = np.arange(len(a)) - np.searchsorted(a, a)
             top = place < k
-            yield pd.DataFrame({"query_id": ids[lo + a[top]], "vec_id": b[top], "score": score[top]})
+            yield pd.DataFrame({"query_id": ids[lo + a[top]], "which": which[lo + a[top]], "vec_id": b[top], "score": score[top]})
 
-    found = both.repartition(count, "shard").sortWithinPartitions("shard", "asks").mapInPandas(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = both.repartition(count, "deal").sortWithinPartitions("shard", "asks").mapInPandas(run, "query_id long, which long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "which").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(vec_id), "score")
 
 

@@ -355,6 +355,31 @@ def test_nearest_of_copies(spark):
     assert right >= 0.99 * 45 * 20
 
 
+def test_nearest_of_repeated_queries_ties_and_large_numbers(spark):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.standard_normal((300, 6)) * 2)
+    x[np.abs(x).sum(1) == 0] = 1
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    twice = df.where("vec_id % 20 = 0").unionByName(df.where("vec_id % 20 = 0")).unionByName(spark.createDataFrame([(20, [1.0] * 6)], df.schema))
+    got = {}
+    for r in ann.nearest(df, twice, beam=300).collect():
+        got.setdefault((r["query_id"], r["rank"]), []).append((r["vec_id"], r["score"]))
+    right = 0
+    for q in range(0, 300, 20):
+        score = x @ x[q]
+        want = [int(j) for j in np.lexsort([np.arange(300), -score]) if j != q][:20]
+        assert all(len(got[q, k]) == 1 + (q == 20) for k in range(1, 21))
+        right += sum((w, score[w]) in got[q, k] for k, w in enumerate(want, 1))
+    assert right >= 0.99 * 300
+    big = spark.createDataFrame([(i, [1e200 * (i + 1), 1e200]) for i in range(30)], df.schema)
+    assert [r["vec_id"] for r in ann.nearest(big, big.where("vec_id = 0"), k=3).orderBy("rank").collect()] == [1, 2, 3]  # all scores overflow: a tie
+    small = spark.createDataFrame([(i, [1e-100 * (i + 1), 1e120]) for i in range(30)], df.schema)
+    assert ann.nearest(small, small.where("vec_id = 0"), k=3).count() == 3
+    deal = ann._dealt(spark, 37).select("shard", F.pmod(F.hash("deal"), F.lit(37)).alias("task")).collect()
+    assert sorted(r["shard"] for r in deal) == list(range(37)) and all(r["shard"] == r["task"] for r in deal)
+
+
 def test_mix(docs, odd, none):
     got = mixing.mix(docs).toPandas()
     own = got.groupby("source").agg(size=("size", "sum"), want=("target", "first"), taken=("taken", "sum"), most=("size", "max"))
