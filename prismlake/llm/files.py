@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyarrow import fs
+from pyarrow import NativeFile, fs
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prismlake.plans.ordering import ranked
@@ -30,6 +30,12 @@ def read_whole(folder: str, name: str) -> bytes:
         return f.read()
 
 
+def open_whole(folder: str, name: str) -> NativeFile:
+    """The file, to be read from any place."""
+    store, root = fs.FileSystem.from_uri(folder)
+    return store.open_input_file(f"{root}/{name}")
+
+
 def range_starts(rows: DataFrame, keys: list[str], size: str, each: int, scratch: Scratch) -> list[int]:
     """First value of keys[0] of each run of the order by keys that holds about ``each`` of size; rows of a value stay together.
 

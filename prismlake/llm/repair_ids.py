@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -13,18 +13,23 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from prismlake.llm.files import in_range, range_starts, read_whole, write_whole
+from prismlake.llm.files import in_range, open_whole, range_starts, write_whole
+from prismlake.plans.ordering import ranked
 from prismlake.plans.scratch import Scratch, new_path
 
-#: Text bytes of a shard, rounds of replacement, pairs replaced in one at most, and how often a pair must occur.
-SHARD, ROUNDS, PAIRS, TIMES = 12 << 20, 8, 512, 32
+#: Text bytes of a shard, and how often a pair must occur: a rule takes 12 bytes and saves a symbol of two for each.
+SHARD, TIMES = 12 << 20, 7
+#: Symbols of a file's block, which has a checksum of its own.
+BLOCK = 1 << 16
 #: Pieces whose ids a worker remembers in each of two generations.
 REMEMBERED = 400_000
 #: Words looked up between two looks at how many are remembered.
 _TURN = 50_000
-#: Bits of the hash that pairs are counted by before the frequent ones are counted exactly.
+#: Bits of the hash by which places of chosen pairs are found.
 _BUCKETS = 18
-_MAGIC = b"RPG1"
+#: Vocabularies up to this size leave room for rules in symbols of two bytes.
+_TWO_BYTES = 60_000
+_MAGIC = b"RPG2"
 
 # The normalizer and the splitter of tokenizers whose texts can be cut into pieces here, and what \s, \p{L}
 # and \p{N} are among the first 256 characters.
@@ -122,58 +127,59 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, pairs: int = PAIRS, times: int = TIMES) -> tuple[np.ndarray, np.ndarray]:
+def _chosen(value: np.ndarray, slot: np.ndarray, n: np.ndarray, bits: int, most: int) -> np.ndarray:
+    """Which of the pairs to replace at once, the most frequent first: none starts with a symbol that another ends with, and their hashes differ."""
+    heads, tails, slots, out = set(), set(), set(), []
+    for k in np.lexsort([value, -n]).tolist():
+        if len(out) == most:
+            break
+        v, place = int(value[k]), int(slot[k])
+        x, y = v >> bits, v & ((1 << bits) - 1)
+        if x in tails or y in heads or place in slots or x == y and (x in heads or y in tails):
+            continue
+        heads.add(x)
+        tails.add(y)
+        slots.add(place)
+        out.append(k)
+    return np.array(out, "i8")
+
+
+def compress(ids: np.ndarray, first: int, times: int = TIMES) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, rules): rule k, a pair of symbols, is what symbol first + k stands for.
 
-    Each round replaces the most frequent pairs by new symbols, from the left; it takes several at once, as long as
-    none starts with a symbol that another ends with, so that their places never overlap. Pairs are counted by a
-    hash, then the first pair of each frequent hash exactly; another pair of that hash waits for the next round,
-    which hashes otherwise.
+    Each round counts all pairs and replaces frequent ones by new symbols, from the left: the most frequent, and
+    with it others at least a quarter as frequent that can't overlap those taken. Rounds go on until no pair occurs
+    ``times`` times, as fewer don't pay for their rule, or all symbols of two bytes are used, since wider ones would
+    cost more than further rules save. Where the ids leave no room in two bytes, symbols have four.
     """
-    bits, symbol_kind, pair_kind = (16, "u2", "u4") if first + rounds * pairs <= 1 << 16 else (32, "u4", "u8")
-    seq, rules = ids.astype(symbol_kind), []
-    for turn in range(rounds):
-        if len(seq) < 2:
-            break
+    bits, symbol_kind, pair_kind = (16, "u2", "u4") if first <= _TWO_BYTES else (32, "u4", "u8")
+    seq, rules, turn, wide = ids.astype(symbol_kind), np.empty((0, 2), "i8"), 0, np.dtype(pair_kind).type
+    shift = wide(2 * bits - _BUCKETS)
+    while len(seq) > 1 and first + len(rules) < 1 << bits:
         pair = (seq[:-1].astype(pair_kind) << bits) | seq[1:]
-        odd = np.array((0x9E3779B97F4A7C15 * (2 * turn + 1) % 2**64 >> (64 - 2 * bits)) | 1, pair_kind)
-        bucket = ((pair * odd) >> (2 * bits - _BUCKETS)).astype("i8")
-        counts = np.bincount(bucket, minlength=1 << _BUCKETS)
-        hot = counts >= max(times, int(np.partition(counts, -2 * pairs)[-2 * pairs]))
-        place = np.flatnonzero(hot[bucket])
-        if not len(place):
-            break
-        group, own = (np.cumsum(hot) - 1)[bucket[place]], pair[place]
-        value = np.zeros(int(hot.sum()), pair_kind)
-        value[group[::-1]] = own[::-1]
-        exact = value[group] == own
-        place, group = place[exact], group[exact]
-        n = np.bincount(group, minlength=len(value))
-        heads, tails, chosen = set(), set(), []
-        for k in np.argsort(-n, kind="stable"):
-            a, b = int(value[k]) >> bits, int(value[k]) & ((1 << bits) - 1)
-            if n[k] < times or len(chosen) == pairs:
-                break
-            if a in tails or b in heads or a == b and (a in heads or b in tails):
-                continue
-            heads.add(a)
-            tails.add(b)
-            chosen.append(k)
-        if not chosen:
+        in_order = np.sort(pair)
+        cut = np.concatenate([[0], np.flatnonzero(in_order[1:] != in_order[:-1]) + 1, [len(pair)]])
+        n = np.diff(cut)
+        often = np.flatnonzero(n >= max(times, int(n.max()) // 4))
+        if not len(often):
             break
-        new = np.full(len(value), -1, "i8")
-        new[chosen] = first + len(rules) + np.arange(len(chosen))
-        rules += [(int(value[k]) >> bits, int(value[k]) & ((1 << bits) - 1)) for k in chosen]
-        symbol = new[group]
-        place, symbol = place[symbol >= 0], symbol[symbol >= 0]
+        value, n = in_order[cut[often]], n[often]
+        odd = wide((0x9E3779B97F4A7C15 * (2 * turn + 1) % 2**64 >> (64 - 2 * bits)) | 1)
+        turn += 1
+        value = value[_chosen(value, (value * odd) >> shift, n, bits, (1 << bits) - first - len(rules))]
+        table = np.full(1 << _BUCKETS, -1, "i4")
+        table[(value * odd) >> shift] = np.arange(len(value))
+        which = table[(pair * odd) >> shift]
+        place = np.flatnonzero(which >= 0)
+        place = place[value[which[place]] == pair[place]]
         start = np.flatnonzero(np.diff(place, prepend=-2) != 1)
-        kept = (np.arange(len(place)) - np.repeat(start, np.diff(start, append=len(place)))) % 2 == 0
-        place, symbol = place[kept], symbol[kept]
-        seq[place] = symbol
+        place = place[(np.arange(len(place)) - np.repeat(start, np.diff(start, append=len(place)))) % 2 == 0]
+        seq[place] = (first + len(rules) + which[place]).astype(symbol_kind)
+        rules = np.concatenate([rules, np.stack([value >> wide(bits), value & wide((1 << bits) - 1)], 1).astype("i8")])
         left = np.ones(len(seq), bool)
         left[place + 1] = False
         seq = seq[left]
-    return seq, np.array(rules, "i8").reshape(-1, 2)
+    return seq, rules
 
 
 def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -185,55 +191,87 @@ def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, list[np.ndarr
 
 
 class Shard:
-    """A shard's file: ids of documents one after another, readable from any place without expanding the rest."""
-
-    def __init__(self, data: bytes):
-        if data[:4] != _MAGIC:
-            raise ValueError("not a shard of this format")
-        n = int.from_bytes(data[4:8], "little")
-        head, at = json.loads(data[8 : 8 + n]), 8 + n
-        if zlib.crc32(data[at:]) != head["crc32"]:
-            raise ValueError("damaged shard")
-        for name, kind, count in head["arrays"]:
-            setattr(self, name, np.frombuffer(data, kind, count, at))
-            at += count * np.dtype(kind).itemsize
-        self.first = head["first"]
-        rules = self.rules.reshape(-1, 2).astype("i8")
-        length, own = expansions(rules, self.first)
+    """A shard's file: ids of documents one after another, readable from any place without the rest.
+
+    Opening reads the rules and the documents' places; ``read`` and ``document`` read the blocks of the sequence
+    that they need. Every part has a checksum.
+    """
+
+    def __init__(self, file: pa.NativeFile | bytes):
+        self.file = pa.BufferReader(file) if isinstance(file, bytes) else file
+        start = self.file.read_at(12, 0)
+        n = int.from_bytes(start[4:8], "little")
+        head = self.file.read_at(n, 12)
+        if start[:4] != _MAGIC or zlib.crc32(head) != int.from_bytes(start[8:12], "little"):
+            raise ValueError("not a shard of this format, or a damaged one")
+        parts, at = json.loads(head), 12 + n
+        for name, kind, count, crc in parts["arrays"]:
+            size = count * np.dtype(kind).itemsize
+            if name == "sequence":
+                self.kind, self.count, self.from_ = np.dtype(kind), count, at
+            else:
+                data = self.file.read_at(size, at)
+                if zlib.crc32(data) != crc:
+                    raise ValueError("damaged shard")
+                setattr(self, name, np.frombuffer(data, kind))
+            at += size
+        self.first = parts["first"]
+        length, own = expansions(self.rules.reshape(-1, 2).astype("i8"), self.first)
         if not np.array_equal(length, self.lengths):
             raise ValueError("wrong expansion lengths")
         self._flat = np.concatenate([np.arange(self.first), *own])
         self._from = np.concatenate([np.arange(self.first), self.first + np.cumsum(length) - length])
         self._size = np.concatenate([np.ones(self.first, "i8"), length])
-        self._ends = np.cumsum(self._size[self.sequence])
+
+    def _symbols(self, block: int) -> np.ndarray:
+        lo, hi = block * BLOCK, min(self.count, (block + 1) * BLOCK)
+        data = self.file.read_at((hi - lo) * self.kind.itemsize, self.from_ + lo * self.kind.itemsize)
+        if zlib.crc32(data) != self.crcs[block]:
+            raise ValueError("damaged shard")
+        return np.frombuffer(data, self.kind)
 
     def read(self, start: int, stop: int) -> np.ndarray:
         """Ids from start to stop of the shard."""
-        if stop <= start:
-            return np.empty(0, "<u4")
-        a, b = int(np.searchsorted(self._ends, start, side="right")), int(np.searchsorted(self._ends, stop, side="left")) + 1
-        skip = start - int(self._ends[a] - self._size[self.sequence[a]])
-        ids = _gather(self._flat, self._from, self._size, self.sequence[a:b])
-        return ids[skip : skip + stop - start].astype("<u4")
+        out = []
+        block = max(0, int(np.searchsorted(self.before, start, side="right")) - 1)
+        while stop > start and block < len(self.before) and self.before[block] < stop:
+            symbols = self._symbols(block)
+            ends = int(self.before[block]) + np.cumsum(self._size[symbols])
+            a, b = int(np.searchsorted(ends, start, side="right")), int(np.searchsorted(ends, stop, side="left")) + 1
+            ids = _gather(self._flat, self._from, self._size, symbols[a:b])
+            skip = max(0, start - int(ends[a] - self._size[symbols[a]]))
+            begin = max(start, int(ends[a] - self._size[symbols[a]]))
+            out.append(ids[skip : skip + stop - begin])
+            block += 1
+        return np.concatenate(out).astype("<u4") if out else np.empty(0, "<u4")
+
+    def document(self, k: int) -> np.ndarray:
+        """Ids of the shard's document k."""
+        return self.read(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
 def shard_bytes(ids: np.ndarray, doc_ids: list[int | None], ends: np.ndarray, first: int) -> list[bytes]:
+    """A shard's file: rules, expansion lengths, documents, the ids before each block of the sequence, and the sequence."""
     seq, rules = compress(ids, first)
     lengths, _ = expansions(rules, first)
-    small = "<u2" if first + len(rules) <= 1 << 16 else "<u4"
+    size = np.concatenate([np.ones(first, "i8"), lengths])
+    before = np.cumsum(np.concatenate([[0], np.add.reduceat(size[seq], np.arange(0, len(seq), BLOCK))]) if len(seq) else [0])[:-1]
+    seq = seq.astype("<u2" if first + len(rules) <= 1 << 16 else "<u4")
+    crcs = [zlib.crc32(seq[lo : lo + BLOCK].tobytes()) for lo in range(0, len(seq), BLOCK)]
     known = np.array([d is not None for d in doc_ids], "u1")
-    arrays = {"rules": rules.ravel().astype("<u4"), "lengths": lengths.astype("<u4"), "sequence": seq.astype(small), "doc_ids": np.array([d or 0 for d in doc_ids], "<i8"), "known": known, "ends": ends.astype("<i8")}
-    body = b"".join(x.tobytes() for x in arrays.values())
-    head = json.dumps({"first": first, "crc32": zlib.crc32(body), "arrays": [[k, x.dtype.str, len(x)] for k, x in arrays.items()]}).encode()
-    return [_MAGIC, len(head).to_bytes(4, "little"), head, body]
+    arrays = {"rules": rules.ravel().astype("<u4"), "lengths": lengths.astype("<u4"), "doc_ids": np.array([d or 0 for d in doc_ids], "<i8"), "known": known, "ends": ends.astype("<i8"), "before": before.astype("<i8"), "crcs": np.array(crcs, "<u4"), "sequence": seq}
+    body = [x.tobytes() for x in arrays.values()]
+    head = json.dumps({"first": first, "arrays": [[k, x.dtype.str, len(x), zlib.crc32(d)] for (k, x), d in zip(arrays.items(), body, strict=True)]}).encode()
+    return [_MAGIC, len(head).to_bytes(4, "little"), zlib.crc32(head).to_bytes(4, "little"), head, *body]
 
 
 _MANIFEST = "shard int, file string, docs long, tokens long, symbols long, bytes long"
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int = 1, text: str = "text", doc_id: str = "doc_id", shard_bytes_: int = SHARD, whole: bool = False) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str | Callable[[], str], end: int = 1, text: str = "text", doc_id: str = "doc_id", shard_bytes_: int = SHARD) -> DataFrame:
     """Write the ids of every whole text of docs, each with ``end`` behind, and return the manifest, a row for each shard.
 
+    ``tokenizer`` is the path of its file, or a function that gives it, which is called where the task runs.
     Shards are ranges of about ``shard_bytes_`` of text in the order of doc_id (nulls first), then CRC; rows of an
     id stay in one. A shard's task holds its ids. Names and bytes depend on the rows alone, files appear whole, and
     the manifest comes last. Null and empty texts have the end mark alone; docs without rows give no file.
@@ -247,8 +285,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int = 1, tex
     dealt = rows.repartitionByRange(len(starts) + 1, "shard").sortWithinPartitions("shard", "id", "crc", F.octet_length("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at, files = _encoder(tokenizer), None, []
-        first = _tokenizer(tokenizer).get_vocab_size()
+        path = tokenizer() if callable(tokenizer) else tokenizer
+        encoder, at, files = _encoder(path), None, []
+        first = _tokenizer(path).get_vocab_size()
         parts, counts, ids = [], [], []
 
         def close() -> None:
@@ -257,7 +296,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int = 1, tex
             ends = np.cumsum(np.concatenate(counts))
             data = shard_bytes(np.concatenate(parts), ids, ends, first)
             write_whole(folder, name, data)
-            arrays = {k: n for k, _, n in json.loads(data[2])["arrays"]}
+            arrays = {k: n for k, _, n, _ in json.loads(data[3])["arrays"]}
             files.append((at, name, len(ids), int(ends[-1]), arrays["sequence"], sum(map(len, data))))
             parts, counts, ids = [], [], []
 
@@ -288,30 +327,31 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int = 1, tex
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files; start counts the ids before it in all shards."""
-    spark = manifest.sparkSession
-    before, starts = 0, []
-    for r in manifest.orderBy("shard").collect():  # a row for each shard
-        starts.append((r["shard"], r["file"], before))
-        before += r["tokens"]
+    scratch = Scratch(manifest.sparkSession, "ids")
+    files = ranked(manifest.select("shard", "file", "tokens"), ["shard"], scratch, running={"before": "tokens"}).select("file", "before")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, first in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                shard = Shard(read_whole(folder, name))
-                ends = shard.ends.tolist()
-                begins = [0, *ends[:-1]]
-                ids = [int(d) if k else None for d, k in zip(shard.doc_ids, shard.known, strict=True)]
-                every = shard.read(0, ends[-1])
-                crcs = [zlib.crc32(every[s:e].tobytes()) for s, e in zip(begins, ends, strict=True)]
+            for name, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with open_whole(folder, name) as file:
+                    shard = Shard(file)
+                    ends = shard.ends.tolist()
+                    begins = [0, *ends[:-1]]
+                    ids = [int(d) if k else None for d, k in zip(shard.doc_ids, shard.known, strict=True)]
+                    every = shard.read(0, ends[-1])
+                    crcs = [zlib.crc32(every[s:e].tobytes()) for s, e in zip(begins, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([first + s for s in begins], pa.int64()), pa.array(np.diff(ends, prepend=0), pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = spark.createDataFrame(starts, "shard int, file string, before long")
-    return files.repartition(max(1, len(starts))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = max(1, min(manifest.count(), 100_000))
+    return files.repartition(tasks).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+    def path() -> str:
+        import public_tokenizers
+
+        return public_tokenizers.path("word_bpe_49k.json")
 
     folder = new_path(spark, "ids")
-    manifest = write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    manifest = write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, path)
     return read_shards(manifest, folder)

@@ -324,6 +324,35 @@ def test_grammar_round_trip():
             assert np.array_equal(shard.read(max(a, 0), max(b, 0)) if n > 1 else ids[a:b], ids[max(a, 0) : max(b, 0)] if n > 1 else ids[a:b])
 
 
+def test_grammar_to_its_end():
+    """No pair is left that pays for a rule; documents are read alone; damage is found."""
+    rng = np.random.default_rng(7)
+    words = [rng.integers(0, 900, rng.integers(1, 9)).tolist() for _ in range(300)]
+    docs = [[x for w in rng.integers(0, 300, rng.integers(0, 400)) for x in words[w]] for _ in range(700)]
+    ids, ends = np.array([x for d in docs for x in d], "<u4"), np.cumsum([len(d) for d in docs])
+    for first, times in ((1000, repair_ids.TIMES), (1000, 2), (65_000, 2)):
+        seq, rules = repair_ids.compress(ids, first, times)
+        n = {}
+        at = 0
+        while at + 1 < len(seq):  # without overlaps
+            pair = (int(seq[at]), int(seq[at + 1]))
+            n[pair] = n.get(pair, 0) + 1
+            at += 1
+        assert max(n.values()) < max(times, 3) and len(seq) < len(ids) / 3
+        back = {first + k: r for k, r in enumerate(rules.tolist())}
+        assert all(x < first + k and y < first + k for k, (x, y) in enumerate(rules.tolist()))
+        length, own = repair_ids.expansions(rules, first)
+        assert np.array_equal(np.concatenate([own[x - first] if x in back else [x] for x in seq.tolist()]), ids)
+    data = b"".join(repair_ids.shard_bytes(ids, list(range(700)), ends, 1000))
+    shard = repair_ids.Shard(data)
+    assert all(shard.document(k).tolist() == docs[k] for k in range(0, 700, 7))
+    for at in (9, 40, len(data) // 2, len(data) - 1):
+        broken = bytearray(data)
+        broken[at] ^= 1
+        with pytest.raises(ValueError):
+            repair_ids.Shard(bytes(broken)).read(0, len(ids))
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((900, 12)) * rng.uniform(0.5, 2, (900, 1))
