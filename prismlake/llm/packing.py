@@ -18,21 +18,75 @@ LENGTHS, FIXED_COST = (512, 1024, 2048, 4096), 32
 PIECES = 20_000
 
 
-def _open_to(pieces: list[int], lengths: tuple[int, ...], costs: list[float], largest: int) -> tuple[list[int], list[int], list[int]]:
-    """Best fit, longest first, where new bins have the permitted length up to ``largest`` of the least cost a token."""
+def _least(used: int, lengths: tuple[int, ...], costs: list[float]) -> tuple[float, int]:
+    """Cost and length of the cheapest permitted length that holds so much."""
+    return min((c, n) for c, n in zip(costs, lengths, strict=True) if n >= used)
+
+
+def _filled(pieces: list[int], lengths: tuple[int, ...], costs: list[float]) -> tuple[list[int], list[int], list[int]]:
+    """Bin by bin: the longest piece left opens the length that costs least a token when it is filled and shrunk.
+
+    Each permitted length is filled on trial, always with the longest pieces left that fit.
+    """
+    most = lengths[-1]
+    left, shorter = [0] * (most + 1), list(range(most + 1))  # pieces left of a length; the longest one left up to a length, by way of steps
+    for n in pieces:
+        left[n] += 1
+
+    def longest(n: int) -> int:
+        to = n
+        while to and not left[to]:
+            to = shorter[to] if shorter[to] < to else to - 1
+        while n > to:
+            shorter[n], n = to, shorter[n] if shorter[n] < n else n - 1
+        return to
+
+    def fill(opener: int, length: int) -> list[tuple[int, int]]:
+        took, room = [(opener, 1)], length - opener
+        n = longest(room)
+        while n:
+            have = min(left[n] - (n == opener), room // n)
+            if have:
+                took.append((n, have))
+                room -= n * have
+            n = longest(min(room, n - 1))
+        return took
+
+    cheapest = [_least(u, lengths, costs)[0] for u in range(most + 1)]
+    start = {n: k for k, n in reversed(list(enumerate(pieces)))}
+    bins, offsets, used = [0] * len(pieces), [0] * len(pieces), []
+    while n := longest(most):
+        best = None
+        for c in lengths:
+            if c >= n:
+                took = fill(n, c)
+                total = sum(x * t for x, t in took)
+                if best is None or cheapest[total] / total <= best[0]:
+                    best = (cheapest[total] / total, total, took)
+        at = 0
+        for x, t in best[2]:
+            left[x] -= t
+            for _ in range(t):
+                bins[start[x]], offsets[start[x]] = len(used), at
+                start[x] += 1
+                at += x
+        used.append(best[1])
+    return bins, offsets, used
+
+
+def _packed(pieces: list[int], choose) -> tuple[list[int], list[int], list[int]]:
+    """Best fit, longest first: the open bin with the least room that holds a piece, or else a new one of the length that ``choose`` gives."""
     bins, offsets, used, room = [], [], [], {}
     free: list[int] = []
-    for n in pieces:
-        k = bisect_left(free, n)
-        if k < len(free):
-            left = free[k]
+    for k, n in enumerate(pieces):
+        at = bisect_left(free, n)
+        if at < len(free):
+            left = free[at]
             b = room[left].pop()
             if not room[left]:
-                del room[left], free[k]
+                del room[left], free[at]
         else:
-            fits = [i for i, c in enumerate(lengths) if c >= n]
-            i = min([i for i in fits if lengths[i] <= largest] or fits[:1], key=lambda i: (costs[i] / lengths[i], lengths[i]))
-            b, left = len(used), lengths[i]
+            b, left = len(used), choose(k)
             used.append(0)
         bins.append(b)
         offsets.append(used[b])
@@ -49,13 +103,15 @@ def _open_to(pieces: list[int], lengths: tuple[int, ...], costs: list[float], la
 def best_fit(pieces: list[int], lengths: tuple[int, ...], costs: list[float]) -> tuple[list[int], list[int], list[int]]:
     """Bin and offset of each piece (sorted, longest first), and the length of each bin.
 
-    Packs once with each permitted length as the longest to open, shrinks each bin to the cheapest permitted length
-    that holds its contents, and takes the packing that then costs least (the one with longer bins, if equal).
+    Lengths are chosen jointly: each bin gets the one that costs least a token with the pieces still to pack. That is
+    compared with best-fit packings that open one length alone (the least longer one for pieces over it); in all of
+    them each bin is shrunk to the cheapest length that holds its contents. The packing that costs least is taken,
+    so it never costs more than any of a single length.
     """
     best = None
-    for top in sorted(lengths, reverse=True):
-        bins, offsets, used = _open_to(pieces, lengths, costs, top)
-        sized = [min((costs[i], c) for i, c in enumerate(lengths) if c >= u) for u in used]
+    single = [lambda k, top=top: max(top, next(n for n in lengths if n >= pieces[k])) for top in reversed(lengths)]
+    for bins, offsets, used in (_filled(pieces, lengths, costs), *(_packed(pieces, choose) for choose in single)):
+        sized = [_least(u, lengths, costs) for u in used]
         total = sum(x for x, _ in sized)
         if best is None or total < best[0]:
             best = (total, bins, offsets, [c for _, c in sized])

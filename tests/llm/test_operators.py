@@ -434,3 +434,33 @@ def test_pack(docs, odd, none):
         assert all((own.sort_values("offset").offset.to_numpy() == np.cumsum([0, *own.sort_values("offset").tokens])[:-1]).all() for _, own in got.groupby("bin"))
         assert all(c == min(x for x in packing.LENGTHS if x >= u) for u, c in zip(bins.used, bins.length))
     assert packing.pack(none).count() == 0
+
+
+def test_lengths_are_chosen_jointly():
+    """Against packings of one length alone, made here plainly: never dearer, and cheaper where lengths are mixed."""
+    rng, lengths, below, mixed = np.random.default_rng(11), (64, 128, 256, 512), 0, 0
+    costs = [n + 8.0 for n in lengths]
+    for turn in range(60):
+        kinds = rng.integers(1, 512, rng.integers(1, 6))
+        pieces = sorted(rng.choice(kinds, rng.integers(1, 200)).tolist() if turn % 2 else rng.integers(1, 512, rng.integers(1, 200)).tolist(), reverse=True)
+        bins, offsets, sized = packing.best_fit(pieces, lengths, costs)
+        fill = {}
+        for b, o, n in zip(bins, offsets, pieces):
+            assert fill.get(b, 0) == o
+            fill[b] = o + n
+        assert sorted(fill) == list(range(len(sized))) and all(sized[b] == min(n for n in lengths if n >= u) for b, u in fill.items())
+        total = sum(n + 8.0 for n in sized)
+        for top in lengths:
+            rooms = []
+            for n in pieces:
+                fits = [r for r in rooms if r[0] >= n]
+                if not fits:
+                    size = max(top, min(x for x in lengths if x >= n))
+                    rooms.append([size, size])
+                    fits = rooms[-1:]
+                min(fits, key=lambda r: r[0])[0] -= n
+            alone = sum(min(x for x in lengths if x >= size - left) + 8.0 for left, size in rooms)
+            assert total <= alone
+            below += total < alone - 1e-9 and top == lengths[-1]
+        mixed += len(set(sized)) > 1
+    assert below and mixed > 20
