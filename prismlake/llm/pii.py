@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the field is fitted to, tokens of them at most, and the marginal that an added token needs.
-SAMPLE, TOKENS, SURE = 20_000, 40_000, 0.9
+SAMPLE, TOKENS, SURE = 20_000, 40_000, 0.5
 #: Rounds of message passing at most, and how much of the old message stays in each.
 ROUNDS, DAMPING = 30, 0.3
 
@@ -102,9 +102,31 @@ _WIDTH = len(_features("1"))
 
 
 def _key(token: str) -> str:
-    """Like tokens have equal keys: the digits of tokens with seven or more, else the lowered letters and digits."""
+    """Like tokens have equal keys: the part before an @, the last seven digits of tokens with as many and no letter, else the lowered letters and digits."""
+    local = token.partition("@")[0]
+    if local != token and local:
+        return local.lower() + "@"
     digits = "".join(_DIGIT.findall(token))
-    return digits if len(digits) > 6 and not any(c.isalpha() for c in token) else "".join(c for c in token.lower() if c.isalnum() or c in "@+")
+    return digits[-7:] if len(digits) > 6 and not any(c.isalpha() for c in token) else "".join(c for c in token.lower() if c.isalnum() or c in "@+")
+
+
+def _weakened(text: str, kind: int) -> str:
+    """The span's text as it may be repeated in a form that no fixed pattern knows: the host alone, other marks between digits, no country code."""
+    if kind == 0:
+        local, _, host = text.partition("@")
+        return f"{local}@{host.split('.')[0]}"
+    if kind == 1:
+        return text.replace(".", "-")
+    if kind == 2:
+        return "/".join(re.split("[ -]", text)) if re.search("[ -]", text) else f"{text[:4]}/{text[4:]}"
+    last = text.split()[-1]
+    return last if last != text and len(_DIGIT.findall(last)) > 6 else "".join(_DIGIT.findall(text))[-10:]
+
+
+def _mirrored(token: str) -> str:
+    """The token with its letters and digits in reverse, marks in their places."""
+    back = [c for c in token if c.isalnum()]
+    return "".join(back.pop() if c.isalnum() else c for c in token)
 
 
 def _edges(text: str, nodes: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -113,7 +135,7 @@ def _edges(text: str, nodes: list[tuple[int, int, int]]) -> tuple[list[tuple[int
     last, skip = {}, []
     for i, (s, e, _) in enumerate(nodes):
         key = _key(text[s:e])
-        if len(key) > 2:
+        if len(key) > 4:  # shorter ones are alike by chance
             if key in last:
                 skip.append((last[key], i))
             last[key] = i
@@ -153,7 +175,7 @@ class Field:
         return np.exp(belief - np.logaddexp.reduce(belief, axis=1, keepdims=True))
 
 
-def _train(x: np.ndarray, chain: np.ndarray, skip: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> Field:
+def _train(x: np.ndarray, chain: np.ndarray, skip: np.ndarray, y: np.ndarray, rounds: int = 1500, rate: float = 0.5, decay: float = 1e-4) -> Field:
     """Largest pseudo-likelihood: each token's label given its features and the labels beside it (counts by label)."""
     k = len(KINDS) + 1
     z = np.concatenate([x, chain, skip], 1)
@@ -169,7 +191,13 @@ def _train(x: np.ndarray, chain: np.ndarray, skip: np.ndarray, y: np.ndarray, ro
 
 
 def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE, tokens: int = TOKENS) -> Field:
-    """The field, fitted to the base labels of a bounded sample: about ``sample`` documents by id hash, ``tokens`` of their tokens."""
+    """The field, fitted to a bounded sample: about ``sample`` documents by id hash, ``tokens`` of their tokens.
+
+    Labels are those of the base patterns. As the patterns tell them by the token alone, every other span is
+    repeated behind the text in a form that no pattern knows, with the label of the span, and the others so, but
+    with their letters and digits mirrored and no label: there only the skip link tells the label, so its
+    potentials are learnt from what they are for.
+    """
     n = docs.count()
     part = docs.where(F.shiftrightunsigned(F.xxhash64(doc_id), 2) <= int(min(1.0, sample / max(1, n)) * 2**62) - 1)
 
@@ -178,7 +206,14 @@ def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int
             out = []
             for h, t in zip(b["h"], b["t"], strict=True):
                 t = t or ""
-                nodes = _nodes(t, base_spans(t))
+                spans = base_spans(t)
+                for i, (s, k, e) in enumerate(list(spans)):
+                    weak, same = _weakened(t[s:e], k), (h + i) % 2 == 0
+                    weak = weak if same else _mirrored(weak)
+                    if not base_spans(f" {weak} "):
+                        spans += [(len(t) + 3, k, len(t) + 3 + len(weak))] * same
+                        t += f" x {weak}"
+                nodes = _nodes(t, sorted(spans))
                 chain, skip = _edges(t, nodes)
                 beside = np.zeros((2, len(nodes), len(KINDS) + 1))
                 for side, links in enumerate((chain, skip)):
