@@ -23,9 +23,11 @@ def normalised(v: Column) -> Column:
 
 def average_hash(pixels: Column) -> Column:
     """Bit i is set if pixel i is at least the mean of the up to 64 whole-number pixels."""
-    total = F.aggregate(pixels, F.lit(0).cast("long"), lambda s, x: s + x)
-    bits = F.transform(pixels, lambda p, i: F.when(p * F.size(pixels) >= total, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    zero = F.lit(0).cast("long")
+    with_sum = F.transform(F.array(F.struct(pixels.alias("px"), F.aggregate(pixels, zero, lambda s, x: s + x).alias("total"))), lambda g: F.aggregate(
+        F.transform(g["px"], lambda p, i: F.when(p * F.size(g["px"]) >= g["total"], F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(zero)),
+        zero, lambda a, b: a.bitwiseOR(b)))
+    return F.element_at(with_sum, 1)  # the total is worked out once a row, not once a pixel
 
 
 def laplacian_variance(pixels: Column, width: int, height: int) -> Column:

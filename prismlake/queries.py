@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from prismlake.functions import media, parsers, vector
 from prismlake.operators import dedup, geocode, match, resume
 from prismlake.operators.facets import facets
+from prismlake.plans.scratch import Scratch
 
 QUERIES, ORACLES = {}, {}
+#: Differing bits of hashes of the embeddings that count as alike: the least distance on the smallest tables is 15.
+ALIKE = 18
 
 
 def query(sql: str | None = None):
@@ -95,11 +98,11 @@ def laplacian_blur(spark, sf_dir):
 
 @query(f"""
 WITH {_HASHES} SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance
-FROM h a JOIN h b ON a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 14
+FROM h a JOIN h b ON a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 18
 """)
 def hamming_pairs(spark, sf_dir):
-    rows = _hashes(spark, sf_dir)
-    pairs = dedup.hash_pairs(rows, 14).withColumnsRenamed({"a": "x", "b": "y"})
+    rows = Scratch(spark, "hashes").keep(_hashes(spark, sf_dir))
+    pairs = dedup.hash_pairs(rows, ALIKE).withColumnsRenamed({"a": "x", "b": "y"})
     pairs = pairs.unionByName(rows.select(F.col("h").alias("x"), F.col("h").alias("y")).distinct())
     one, two = rows.select(F.col("vec_id").alias("u"), F.col("h").alias("x")), rows.select(F.col("vec_id").alias("v"), F.col("h").alias("y"))
     found = pairs.join(one, "x").join(two, "y").where((F.col("u") != F.col("v")) & ((F.col("x") != F.col("y")) | (F.col("u") < F.col("v"))))
@@ -107,13 +110,13 @@ def hamming_pairs(spark, sf_dir):
 
 
 @query(f"""
-WITH RECURSIVE {_HASHES}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM h a JOIN h b ON bit_count(xor(a.h, b.h)) <= 14),
+WITH RECURSIVE {_HASHES}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM h a JOIN h b ON bit_count(xor(a.h, b.h)) <= 18),
 r AS (SELECT vec_id AS n, vec_id AS m FROM h UNION SELECT e.a, r.m FROM r JOIN e ON r.n = e.b),
 g AS (SELECT n, min(m) AS root FROM r GROUP BY n)
 SELECT n AS vec_id, dense_rank() OVER (ORDER BY root) AS duplicate_group, count(*) OVER (PARTITION BY root) AS group_size FROM g
 """)
 def near_dup_groups(spark, sf_dir):
-    return dedup.duplicate_groups(_hashes(spark, sf_dir), 14, order=["vec_id"]).select("vec_id", "duplicate_group", "group_size")
+    return dedup.duplicate_groups(Scratch(spark, "hashes").keep(_hashes(spark, sf_dir)), ALIKE, order=["vec_id"]).select("vec_id", "duplicate_group", "group_size")
 
 
 @query("""
