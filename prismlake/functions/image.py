@@ -104,6 +104,30 @@ def detections(outputs: list[np.ndarray], scale: float, left: int, top: int, lea
     return np.concatenate(found)
 
 
+def kept(rows: np.ndarray, overlap: float = 0.3) -> np.ndarray:
+    """Rows of ``detections``, best score first, without those that overlap a kept one by more."""
+    rows, out = rows[np.argsort(-rows[:, 0], kind="stable")], []
+    size = np.maximum(rows[:, 3:5], 0)
+    left = np.arange(len(rows))
+    while len(left):
+        k, left = left[0], left[1:]
+        out.append(k)
+        low, high = np.maximum(rows[k, 1:3], rows[left, 1:3]), np.minimum(rows[k, 1:3] + size[k], rows[left, 1:3] + size[left])
+        both = np.maximum(0, high - low).prod(1)
+        union = size[k].prod() + size[left].prod(1) - both
+        left = left[~(np.divide(both, union, out=np.zeros(len(left)), where=union > 0) > overlap)]
+    return rows[out]
+
+
+def similarity(source: np.ndarray, target: np.ndarray) -> tuple[float, float, float, float]:
+    """a, b, tx, ty as vector.similarity_transform gives them, of points (n, 2)."""
+    cs, ct = source.mean(0), target.mean(0)
+    (x, y), (u, v) = (source - cs).T, (target - ct).T
+    s = float((x * x + y * y).sum())
+    a, b = (float((x * u + y * v).sum()) / s, float((x * v - y * u).sum()) / s) if s > 1e-12 else (0.0, 0.0)
+    return a, b, float(ct[0] - a * cs[0] + b * cs[1]), float(ct[1] - b * cs[0] - a * cs[1])
+
+
 def aligned(x: np.ndarray, a: float, b: float, tx: float, ty: float) -> np.ndarray:
     """The crop whose pixel (u, v) is the image's at the inverse of u = a x - b y + tx, v = b x + a y + ty; black outside."""
     v, u = np.mgrid[0:CROP_SIDE, 0:CROP_SIDE].astype("f8")

@@ -79,8 +79,13 @@ def key_values(text: Column) -> Column:
 
 
 def place_name(body: Column) -> Column:
-    """Place, country or both of a reverse geocoder's JSON, else its display name, else null; values that aren't text are skipped."""
-    only = lambda name: F.nullif(F.get_json_object(F.regexp_replace(body, r':\s*-?[0-9][0-9.eE+-]*\s*([,}\]])', ":null$1"), name), F.lit(""))
+    """Place, country or both of a reverse geocoder's JSON, else its display name, else null; values that aren't text, and empty ones, are skipped."""
+    parsed = F.try_parse_json(body)
+
+    def only(path: str) -> Column:
+        is_text = F.schema_of_variant(F.try_variant_get(parsed, path, "variant")) == "STRING"
+        return F.when(is_text, F.nullif(F.try_variant_get(parsed, path, "string"), F.lit("")))
+
     local = F.coalesce(*(only(f"$.address.{k}") for k in ("city", "town", "village", "municipality", "county")))
     country = only("$.address.country")
     return F.when(local.isNotNull() & country.isNotNull(), F.concat(local, F.lit(", "), country)).otherwise(F.coalesce(local, country, only("$.display_name")))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import time
+import urllib.parse
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,6 +19,20 @@ SPACING = 1.1
 _CELLS = "lat_key long, lon_key long, place string"
 
 
+def service(address: str, agent: str, seconds: float = 10) -> Callable[[float, float], str | None]:
+    """A fetch for ``resolve`` that asks a reverse geocoder over HTTP; coordinates leave the cluster."""
+
+    def fetch(lat: float, lon: float) -> str | None:
+        asked = urllib.parse.urlencode({"format": "json", "lat": lat, "lon": lon, "zoom": 10, "addressdetails": 1})
+        request = urllib.request.Request(f"{address}?{asked}", headers={"User-Agent": agent})
+        with urllib.request.urlopen(request, timeout=seconds) as got:
+            text = got.read().decode("utf-8", "replace")
+        json.loads(text)
+        return text
+
+    return fetch
+
+
 def cells(rows: DataFrame, lat: str = "gps_lat", lon: str = "gps_lon", order: str = "file") -> DataFrame:
     """(lat_key, lon_key, lat, lon) of each cell, with the coordinates of its first row in ``order``."""
     keyed = rows.select(geo_cell(F.col(lat)).alias("lat_key"), geo_cell(F.col(lon)).alias("lon_key"), F.col(lat).alias("lat"), F.col(lon).alias("lon"), F.col(order).alias("o"))
@@ -48,6 +65,17 @@ def resolve(wanted: DataFrame, known: DataFrame, fetch: Callable[[float, float],
     return known.select("lat_key", "lon_key", "place").unionByName(got.select("lat_key", "lon_key", place_name(F.col("body")).alias("place")))
 
 
+def remembered(wanted: DataFrame, table: str, fetch: Callable[[float, float], str | None], spacing: float = SPACING) -> DataFrame:
+    """All cells of the Parquet table at the path ``table``, to which new ones are added first; failed ones are kept, too."""
+    spark = wanted.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    exists = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    known = spark.read.schema(_CELLS).parquet(table) if exists else spark.createDataFrame([], _CELLS)
+    new = wanted.join(known.select("lat_key", "lon_key"), ["lat_key", "lon_key"], "left_anti")
+    resolve(new, spark.createDataFrame([], _CELLS), fetch, spacing).write.mode("append").parquet(table)
+    return spark.read.schema(_CELLS).parquet(table)
+
+
 def with_places(rows: DataFrame, places: DataFrame, lat: str = "gps_lat", lon: str = "gps_lon") -> DataFrame:
     """rows with the place of their cell; null without coordinates or place."""
     near = places.select(F.col("lat_key").alias("__a"), F.col("lon_key").alias("__b"), "place")

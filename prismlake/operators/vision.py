@@ -53,7 +53,7 @@ def describe(images: DataFrame, config: VisionConfig, ollama: bool = False, task
             got = [send(*request(config, x, ollama)) for x in b["jpeg"]]
             yield pd.DataFrame({"file": b["file"].to_numpy(), "body": [x for x, _ in got], "error": [e for _, e in got]})
 
-    found = images.select("file", "jpeg").coalesce(tasks).mapInPandas(run, "file string, body string, error string")
+    found = images.select("file", "jpeg").coalesce(max(1, tasks)).mapInPandas(run, "file string, body string, error string")
     parsed = found.select("file", "error", (ollama_response if ollama else chat_response)(F.coalesce("body", F.lit("{}"))).alias("r"))
     failed = F.col("error").isNotNull()
     return parsed.select("file", F.when(failed, F.col("error")).otherwise(F.col("r.description")).alias("description"), F.when(failed, "").otherwise(F.col("r.tags")).alias("tags"), F.when(failed, "").otherwise(F.col("r.ocr_text")).alias("ocr_text"))

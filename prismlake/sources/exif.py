@@ -1,4 +1,4 @@
-"""Capture metadata of JPEG and TIFF files."""
+"""Capture metadata of JPEG, TIFF, PNG and HEIF files."""
 
 from __future__ import annotations
 
@@ -10,9 +10,19 @@ _SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 9: 4, 10: 8}
 
 
 def _tiff(data: bytes) -> bytes | None:
-    """The TIFF part: the whole of a TIFF file, or a JPEG file's Exif segment."""
+    """The TIFF part: the whole of a TIFF file, a JPEG file's Exif segment, a PNG file's chunk, a HEIF file's item."""
     if data[:4] in (b"II*\0", b"MM\0*"):
         return data
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        at = 8
+        while at + 8 <= len(data) and data[at + 4 : at + 8] != b"eXIf":
+            at += 12 + int.from_bytes(data[at : at + 4], "big")
+        return data[at + 8 : at + 8 + int.from_bytes(data[at : at + 4], "big")] or None
+    if data[4:8] == b"ftyp":
+        at = data.find(b"Exif\0\0")
+        while at >= 0 and data[at + 6 : at + 10] not in (b"II*\0", b"MM\0*"):
+            at = data.find(b"Exif\0\0", at + 1)
+        return data[at + 6 :] if at >= 0 else None
     at = 2
     while data[:2] == b"\xff\xd8" and at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
         size = int.from_bytes(data[at + 2 : at + 4], "big")

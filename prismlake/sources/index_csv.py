@@ -62,8 +62,8 @@ def read_index(spark: SparkSession, paths: list[str]) -> DataFrame:
     """All rows of chunk files as text cells; rows with another number of cells are dropped, empty cells are empty texts."""
     if not paths:
         return spark.createDataFrame([], SCHEMA)
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")  # else malformed rows pass when few columns are read
-    rows = spark.read.csv(paths, schema=SCHEMA, header=True, multiLine=True, escape='"', quote='"', mode="DROPMALFORMED", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    reader = spark.read.option("columnPruning", "false")  # else malformed rows pass when few columns are read
+    rows = reader.csv(paths, schema=SCHEMA, header=True, multiLine=True, escape='"', quote='"', mode="DROPMALFORMED", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return rows.fillna("")
 
 

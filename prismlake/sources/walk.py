@@ -92,5 +92,5 @@ def media_files(spark: SparkSession, folder: str, exclude: str = "") -> DataFram
     from pyspark.sql import functions as F
 
     spark.dataSource.register(MediaWalk)
-    files = spark.read.format("media_walk").option("path", folder).option("exclude", exclude).load()
+    files = spark.read.format("media_walk").option("path", folder if "://" in folder else os.path.abspath(folder)).option("exclude", exclude).load()
     return files.where(is_supported(F.col("file"))).orderBy(path_key(F.col("file")))
