@@ -159,7 +159,17 @@ def iou_pairs(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vector.iou(_box(1), _box(11)), 9).alias("iou"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+b AS (SELECT label, e[1] + 1 AS score, e[2] AS x, e[3] AS y, abs(e[4]) + 0.1 AS w, abs(e[5]) + 0.1 AS h, row_number() OVER (PARTITION BY label ORDER BY e[1] DESC, e[2], e[3], abs(e[4]), abs(e[5])) AS rn FROM e),
+r AS (SELECT b.label, b.rn, [{'score': b.score, 'x': b.x, 'y': b.y, 'w': b.w, 'h': b.h}] AS kept FROM b WHERE rn = 1
+  UNION ALL SELECT b.label, b.rn, CASE WHEN (SELECT count(*) FROM (SELECT unnest(r.kept) AS k) u WHERE (greatest(least(u.k.x + u.k.w, b.x + b.w) - greatest(u.k.x, b.x), 0) * greatest(least(u.k.y + u.k.h, b.y + b.h) - greatest(u.k.y, b.y), 0))
+    / (u.k.w * u.k.h + b.w * b.h - greatest(least(u.k.x + u.k.w, b.x + b.w) - greatest(u.k.x, b.x), 0) * greatest(least(u.k.y + u.k.h, b.y + b.h) - greatest(u.k.y, b.y), 0)) > 0.3) > 0 THEN r.kept ELSE list_append(r.kept, {'score': b.score, 'x': b.x, 'y': b.y, 'w': b.w, 'h': b.h}) END
+  FROM r JOIN b ON b.label = r.label AND b.rn = r.rn + 1),
+f AS (SELECT label, kept FROM r QUALIFY row_number() OVER (PARTITION BY label ORDER BY rn DESC) = 1),
+g AS (SELECT label, unnest(range(len(kept))) AS place, unnest(kept) AS k FROM f)
+SELECT label, CAST(place AS INTEGER) AS place, k.score AS score, k.x AS x, k.y AS y, k.w AS w, k.h AS h FROM g
+""")
 def nms_keep(spark, sf_dir):
     boxes = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(_box(1))).alias("boxes"))
     return boxes.select("label", F.posexplode(vector.keep_best(F.col("boxes"))).alias("place", "box")).select("label", "place", "box.*")
@@ -340,3 +350,66 @@ def index_csv_row(spark, sf_dir):
     rows = _files(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", "p_name"), "p_partkey")
     typed = rows.select("file", media.media_kind(F.col("file")).alias("media_type"), media.resolution(F.col("p_size"), F.lit(25)).alias("resolution"), F.col("p_retailprice").alias("blur"), F.col("p_name").alias("description"), F.when(F.col("p_size") % 9 == 0, "bad file").alias("error"))
     return index_cells(typed).select("file", "resolution", "blur_score", "description")
+
+
+@query("""
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Gate: ' || event_id || ', Road' WHEN 1 THEN 'Lot 7: 8}, Land' WHEN 2 THEN 'Land' END AS place FROM events
+""")
+def place_by_type(spark, sf_dir):
+    """Names with numbers inside them, and values that are numbers, true or lists."""
+    k, n = F.col("event_id") % 4, F.col("event_id").cast("string")
+    gate = F.concat(F.lit('{"address": {"city": '), n, F.lit('}, "display_name": "Gate: '), n, F.lit(', Road"}'))
+    lot = F.lit('{"address": {"city": 1.5e3, "town": "Lot 7: 8}", "country": "Land"}}')
+    body = F.when(k == 0, gate).when(k == 1, lot).when(k == 2, F.lit('{"address": {"city": ["x"], "town": true, "country": "Land"}, "display_name": "D"}')).otherwise(F.lit('{"display_name": 5}'))
+    return table(spark, sf_dir, "events").select("event_id", parsers.place_name(body).alias("place"))
+
+
+@query("""
+SELECT vec_id, round(3 * embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: 9 * x::DOUBLE * x::DOUBLE))), 9) AS first, round(3 * embedding[64]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: 9 * x::DOUBLE * x::DOUBLE))), 9) AS last FROM embeddings
+""")
+def unit_vectors(spark, sf_dir):
+    unit = vector.normalised(F.transform("embedding", lambda x: x.cast("double") * 3))
+    return table(spark, sf_dir, "embeddings").select("vec_id", unit.alias("u")).select("vec_id", F.round(F.element_at("u", 1), 9).alias("first"), F.round(F.element_at("u", -1), 9).alias("last"))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN user_id + 0.5::DOUBLE END AS duration, CASE event_id % 3 WHEN 0 THEN 'whole' WHEN 1 THEN 'second' END AS creation_time,
+  CASE event_id % 2 WHEN 0 THEN '+1+2/' ELSE '+3+4/' END AS location, CAST(user_id AS INTEGER) AS width, 9 AS height FROM events
+""")
+def container_probe(spark, sf_dir):
+    e, user = F.col("event_id"), F.col("user_id").cast("string")
+    tags = F.concat(F.when(e % 3 == 0, F.lit('"creation_time": "whole", ')).otherwise(""), F.when(e % 2 == 0, F.lit('"com.apple.quicktime.location.ISO6709": "+1+2/", ')).otherwise(""), F.lit('"location": "+3+4/"'))
+    long = F.when(e % 5 == 0, F.lit("N/A")).otherwise(F.concat(user, F.lit(".5")))
+    other = F.when(e % 3 == 1, F.lit('"tags": {"creation_time": "second"}, ')).otherwise("")
+    body = F.concat(F.lit('{"format": {"duration": "'), long, F.lit('", "tags": {'), tags, F.lit('}}, "streams": [{"codec_type": "audio"}, {'), other, F.lit('"codec_type": "video", "width": '), user, F.lit(', "height": 9}, {"codec_type": "video", "width": 1, "height": 1}]}'))
+    return table(spark, sf_dir, "events").select("event_id", parsers.container_metadata(body).alias("m")).select("event_id", "m.*")
+
+
+@query(f"SELECT p_partkey, substr(file, 5) AS file, replace(p_brand, '#', '-') || ', ' || p_type AS names FROM {_FILES} JOIN part USING (p_partkey)")
+def paths_and_lists(spark, sf_dir):
+    rows = _files(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type"), "p_partkey")
+    return rows.select("p_partkey", media.relative_path(F.col("file"), "lib").alias("file"), media.list_text(F.array(F.regexp_replace("p_brand", "#", "-"), "p_type")).alias("names"))
+
+
+@query(f"""
+WITH RECURSIVE {_HASHES}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM h a JOIN h b ON bit_count(xor(a.h, b.h)) <= 18),
+r AS (SELECT vec_id AS n, vec_id AS m FROM h UNION SELECT e.a, r.m FROM r JOIN e ON r.n = e.b),
+g AS (SELECT n, min(m) AS root FROM r GROUP BY n),
+d AS (SELECT n, dense_rank() OVER (ORDER BY root) AS id, count(*) OVER (PARTITION BY root) AS size FROM g)
+SELECT n AS vec_id, CASE WHEN size > 1 THEN CAST(id AS VARCHAR) ELSE '' END AS cell FROM d
+""")
+def shown_groups(spark, sf_dir):
+    return near_dup_groups(spark, sf_dir).select("vec_id", dedup.shown_group(F.col("duplicate_group"), F.col("group_size")).alias("cell"))
+
+
+@query("""
+WITH s AS (SELECT f.vec_id, f.label, r.label AS person, r.vec_id AS photo, list_dot_product(CAST(f.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) AS sim
+  FROM embeddings f CROSS JOIN embeddings r WHERE f.vec_id >= 50 AND r.vec_id < 50),
+m AS (SELECT vec_id, label, CASE WHEN sim >= 0.363 THEN person END AS person FROM s
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, person, photo) = 1)
+SELECT label AS file, coalesce(string_agg(CAST(person AS VARCHAR), ', ' ORDER BY vec_id), '') AS people FROM m GROUP BY label
+""")
+def people_in_order(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    found = best_match_people(spark, sf_dir).join(v.select("vec_id", F.col("label").alias("file")), "vec_id")
+    return match.face_counts(found, order="vec_id").select("file", media.list_text(F.col("people").cast("array<string>")).alias("people"))
