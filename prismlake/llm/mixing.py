@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from prismlake.plans.ordering import ranked
 from prismlake.plans.scratch import Scratch
 
 #: Hashes have 60 bits, refined by 12 bits a level.
@@ -17,67 +18,73 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def fill(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
-    """Shares of total by weight, none above most times its size; what is cut off goes to the others by weight."""
-    caps, out, free = [most * s for s in sizes], [0.0] * len(sizes), list(range(len(sizes)))
-    left = min(total, sum(caps))
-    while free:
-        each = left / sum(weights[i] for i in free)
-        full = [i for i in free if weights[i] * each > caps[i]]
-        for i in full or free:
-            out[i] = caps[i] if full else weights[i] * each
-        if not full:
-            break
-        left -= sum(caps[i] for i in full)
-        free = [i for i in free if weights[i] * each <= caps[i]]
-    return out
+def _small(df: DataFrame) -> DataFrame:
+    """df, with a row a source, to go along with each task if it has few rows."""
+    return F.broadcast(df) if df.limit(_BROADCAST + 1).count() <= _BROADCAST else df
+
 
+def shares(sums: DataFrame, weights: tuple[float, ...], share: float, most: float, scratch: Scratch) -> DataFrame:
+    """(source, size, target) of sums (source, size): ``share`` of all sizes by weight, none above ``most`` times its size.
 
-def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
+    Sources by code point, null last, have the weights, repeated. What is cut off goes to the others by weight: a
+    target is the least of its cap and its weight times a level, which rises with each round until no more sources
+    reach their caps. Two sums a round come to the driver, whatever the number of sources.
+    """
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    order = ranked(sums.withColumn("none", F.col("source").isNull()), ["none", "source"], scratch)
+    table = scratch.keep(order.select("source", "size", weight.alias("w"), (F.col("size") * F.lit(float(most))).alias("cap")))
+    total, caps, level = table.agg(F.sum("size"), F.sum("cap"), F.sum("w")).first()
+    left = min(share * (total or 0), caps or 0.0)
+    level, before = left / level if level else 0.0, None
+    while level != before:
+        full = F.col("w") * F.lit(level) > F.col("cap")
+        held, free = table.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("w")))).first()
+        level, before = ((left - (held or 0.0)) / free if free else float("inf")), level
+    return table.select("source", "size", F.least("cap", F.col("w") * F.lit(level)).alias("target"))
+
+
+def thresholds(rows: DataFrame, budgets: DataFrame, scratch: Scratch) -> DataFrame:
     """For each row (source, copy, budget) of budgets, ``below``: the hashes under it sum to the budget, as near as whole hashes allow.
 
     rows: source, size, h (0 <= h < 2**60). Level by level, sizes are summed by bucket of the next 12 bits within the
     one bucket where the budget is crossed; a window over at most 4096 buckets finds the next one.
     """
-    spark = rows.sparkSession
-    open_ = budgets.select("source", "copy", F.col("budget").cast("double").alias("need"), F.lit(0).cast("long").alias("prefix"))
-    done = []
+    open_, done = budgets.select("source", "copy", F.col("budget").cast("double").alias("need"), F.lit(0).cast("long").alias("prefix")), None
+    sums = F.sum("size").alias("size"), F.min("h").alias("lo"), F.max("h").alias("hi")
     for level in range(1, _BITS // _LEVEL + 1):
         shift = _BITS - level * _LEVEL
-        cells = rows.groupBy("source", F.shiftright("h", shift).alias("cell")).agg(F.sum("size").alias("size"), F.min("h").alias("lo"), F.max("h").alias("hi")) if level == 1 else None
-        wanted = open_.withColumnRenamed("source", "src")
-        if cells is None:
-            near = F.broadcast(wanted) if len(held) <= _BROADCAST else wanted
-            hit = rows.join(near, F.col("source").eqNullSafe(F.col("src")) & (F.shiftright("h", shift + _LEVEL) == F.col("prefix")))
-            cells = hit.groupBy("source", "copy", "need", F.shiftright("h", shift).alias("cell")).agg(F.sum("size").alias("size"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+        wanted, same = open_.withColumnRenamed("source", "src"), F.col("source").eqNullSafe(F.col("src"))
+        cell = F.shiftright("h", shift).alias("cell")
+        if level == 1:
+            cells = rows.groupBy("source", cell).agg(*sums).join(_small(wanted), same)
         else:
-            cells = cells.join(wanted, F.col("source").eqNullSafe(F.col("src"))).drop("src", "prefix")
+            cells = rows.join(_small(wanted), same & (F.shiftright("h", shift + _LEVEL) == F.col("prefix"))).groupBy("source", "copy", "need", cell).agg(*sums)
         order = Window.partitionBy("source", "copy").orderBy("cell")
         found = cells.withColumn("before", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         found = found.where((F.col("before") < F.col("need")) & (F.col("need") <= F.col("before") + F.col("size")))
-        got = found.select("source", "copy", (F.col("need") - F.col("before")).alias("need"), F.col("cell"), "size", "lo", "hi").collect()
-        done += [(r["source"], r["copy"], r["lo"] + (r["need"] * 2 >= r["size"])) for r in got if r["lo"] == r["hi"]]
-        held = [(r["source"], r["copy"], r["need"], r["cell"]) for r in got if r["lo"] != r["hi"]]
-        if not held:
+        found = scratch.keep(found.select("source", "copy", (F.col("need") - F.col("before")).alias("need"), "cell", "size", "lo", "hi"))
+        ended = found.where("lo = hi").select("source", "copy", (F.col("lo") + (F.col("need") * 2 >= F.col("size")).cast("long")).alias("below"))
+        done = ended if done is None else done.unionByName(ended)
+        open_ = found.where("lo <> hi").select("source", "copy", "need", F.col("cell").alias("prefix"))
+        if open_.isEmpty():
             break
-        open_ = spark.createDataFrame(held, f"source {dict(rows.dtypes)['source']}, copy int, need double, prefix long")
-    return spark.createDataFrame(done, f"source {dict(rows.dtypes)['source']}, copy int, below long")
+    return done
 
 
 def _plan(rows: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
     """(src, source_size, target, below: a threshold for each copy) of each source of rows (source, size, h)."""
-    spark = rows.sparkSession
-    sums = sorted(rows.groupBy("source").agg(F.sum("size").alias("size")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode() if isinstance(r["source"] or "", str) else r["source"]))
-    sizes, by_turn = [r["size"] for r in sums], [weights[i % len(weights)] for i in range(len(sums))]
-    targets = fill(sizes, by_turn, share * sum(sizes), most)
-    kind, copies = dict(rows.dtypes)["source"], max(1, int(-(-most // 1)))
-    plan = [(r["source"], k, s, t, min(s, max(0.0, t - k * s))) for r, s, t in zip(sums, sizes, targets, strict=True) for k in range(copies)]
-    cut = [(s, k, b) for s, k, size_, _, b in plan if 0 < b < size_]
-    part = thresholds(rows, spark.createDataFrame(cut, f"source {kind}, copy int, budget double")).collect() if cut else []
-    below = {(r["source"], r["copy"]): r["below"] for r in part}
-    at = [(s, size_, t, [below.get((s, k), 1 << _BITS if b >= size_ and b else 0) for k, b in own]) for (s, size_, t), own in _by_source(plan)]
-    table = spark.createDataFrame(at, f"src {kind}, source_size long, target double, below array<long>")
-    return F.broadcast(table) if len(at) <= _BROADCAST else table
+    scratch = Scratch(rows.sparkSession, "mix")
+    targets = scratch.keep(shares(rows.groupBy("source").agg(F.sum("size").alias("size")), weights, share, most, scratch))
+    copy = F.explode(F.sequence(F.lit(0), F.lit(max(1, int(-(-most // 1))) - 1))).alias("copy")
+    budget = F.least(F.col("size").cast("double"), F.greatest(F.lit(0.0), F.col("target") - F.col("copy") * F.col("size")))
+    plan = scratch.keep(targets.select("source", "size", "target", copy).withColumn("budget", budget))
+    cut = thresholds(rows, plan.where((F.col("budget") > 0) & (F.col("budget") < F.col("size"))), scratch)
+    cut = cut.select(F.col("source").alias("s"), F.col("copy").alias("c"), "below")
+    below = F.when(F.col("budget") <= 0, F.lit(0).cast("long")).when(F.col("budget") >= F.col("size"), F.lit(1 << _BITS)).otherwise(F.coalesce("below", F.lit(0).cast("long")))
+    every = plan.join(cut, F.col("source").eqNullSafe(F.col("s")) & (F.col("copy") == F.col("c")), "left").withColumn("below", below)
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("copy", "below"))), lambda x: x["below"])
+    table = every.groupBy(F.col("source").alias("src"), F.col("size").alias("source_size"), "target").agg(in_order.alias("below"))
+    return _small(scratch.keep(table))
 
 
 def _hash(doc_id: str) -> Column:
@@ -98,7 +105,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     a source is taken again while its hash is below the threshold of that copy; thresholds of later copies are
     never above those of earlier ones, so mixes are nested. A source comes as near its target as half a row, or
     half the rows that share an id. A null text has size 0; a null source is a source of its own; rows with equal
-    ids are taken alike; empty tables give empty results. One row for each source comes to the driver.
+    ids are taken alike; empty tables give empty results.
     """
     rows = _rows(docs, text, doc_id, source, size)
     out = rows.join(_plan(rows, weights, share, most), F.col("source").eqNullSafe(F.col("src")), "left")
@@ -114,13 +121,6 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     return out.withColumn("__copy", F.explode(again)).select(*(F.col(c) for c in docs.columns))
 
 
-def _by_source(plan):
-    own = {}
-    for s, k, size, t, b in plan:
-        own.setdefault((s, size, t), []).append((k, b))
-    return own.items()
-
-
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from prismlake.llm import ann, embed_dedup, langid, mixing, near_texts, packing, pii, repair_ids, sharding, simhash, warc
 from prismlake.plans.components import connected_components
-from prismlake.plans.scratch import new_path
+from prismlake.plans.scratch import Scratch, new_path
 
 SF = "/root/testdata/sf0.001"
 #: Columns that operators use inside, to clash with.
@@ -456,9 +456,56 @@ def test_mix(docs, odd, none):
     assert mixing.copies(odd).columns == odd.columns
 
 
-def test_fill():
-    assert mixing.fill([10, 10, 10], [5, 2, 1], 45, 2) == pytest.approx([20, 50 / 3, 25 / 3])
-    assert mixing.fill([0, 10], [5, 1], 15, 2) == [0, 15]
+def fill(sizes, weights, total, most):
+    """Shares of total by weight, none above most times its size; what is cut off goes to the others by weight."""
+    caps, out, free = [most * s for s in sizes], [0.0] * len(sizes), list(range(len(sizes)))
+    left = min(total, sum(caps))
+    while free:
+        each = left / sum(weights[i] for i in free)
+        full = [i for i in free if weights[i] * each > caps[i]]
+        for i in full or free:
+            out[i] = caps[i] if full else weights[i] * each
+        if not full:
+            break
+        left -= sum(caps[i] for i in full)
+        free = [i for i in free if weights[i] * each <= caps[i]]
+    return out
+
+
+def test_fill(spark):
+    rng = np.random.default_rng(3)
+    cases = [([10, 10, 10], 1.5), ([0, 10], 1.5), ([0], 1.5), ([7, 0, 100, 3, 3, 50, 2, 1], 1.5), (rng.integers(0, 1000, 60).tolist(), 1.9), ([5, 6], 9.0)]
+    for sizes, share in cases:
+        names = [*(f"s{i:03d}" for i in range(len(sizes) - 1)), None]
+        df = spark.createDataFrame(list(zip(names, sizes)), "source string, size long")
+        got = {r["source"]: r["target"] for r in mixing.shares(df, (5, 2, 1), share, 2.0, Scratch(spark, "test")).collect()}
+        want = fill(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))], share * sum(sizes), 2)
+        assert [got[n] for n in names] == pytest.approx(want)
+    assert fill([10, 10, 10], [5, 2, 1], 45, 2) == pytest.approx([20, 50 / 3, 25 / 3]) and fill([0, 10], [5, 1], 15, 2) == [0, 15]
+    assert mixing.shares(spark.createDataFrame([], "source string, size long"), (5, 2, 1), 1.5, 2.0, Scratch(spark, "test")).count() == 0
+
+
+def test_mix_takes_what_sorting_by_hash_takes(spark):
+    """The thresholds against plain sorting: each copy of a source takes the smallest hashes up to its budget, to the nearest row."""
+    rng = np.random.default_rng(6)
+    rows = [(int(i), " ".join(["w"] * int(n)), f"s{k}" if k else None) for i, (n, k) in enumerate(zip(rng.integers(0, 40, 900), rng.choice(5, 900, p=[0.1, 0.2, 0.3, 0.39, 0.01])))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hashes = {r["doc_id"]: r["h"] for r in df.select("doc_id", mixing._hash("doc_id").alias("h")).collect()}
+    got = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    for s in {r[2] for r in rows}:
+        own = sorted((hashes[i], len(t.split()), i) for i, t, x in rows if x == s)
+        size, target = sum(n for _, n, _ in own), got[own[0][2]]["target"]
+        want = dict.fromkeys((i for _, _, i in own), 0)
+        for k in range(2):
+            budget, at = min(size, max(0.0, target - k * size)), 0
+            for _, n, i in own:
+                if budget >= size or (at < budget and (at + n <= budget or 2 * (budget - at) >= n)):
+                    want[i] += 1 if budget > 0 else 0
+                at += n
+        assert {i: got[i]["copies"] for i in want if len(rows[i][1])} == {i: c for i, c in want.items() if len(rows[i][1])}, s
+        assert all(got[i]["source_size"] == size for i in want)
+    again = {r["doc_id"]: r for r in mixing.mix(df.repartition(7)).collect()}
+    assert again == got
 
 
 def test_pack(docs, odd, none):
