@@ -11,15 +11,15 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", tag: str = "components") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", tag: str = "components", scratch: Scratch | None = None) -> DataFrame:
     """(node, root) for each node that has a link to another one; root is the smallest node it reaches.
 
     Links point from the larger to the smaller node. A round first points every link at the smallest neighbour of
     its target, then moves the other targets of a node onto its smallest one; both keep the components, and the
     rounds needed grow with the logarithm of the longest path. Nothing but a count and a checksum comes to the
-    driver. Rows with a null end and links of a node with itself are dropped; no links give an empty result.
+    driver. ``scratch`` holds the table that the result reads. Rows with a null end and links of a node with itself are dropped; no links give an empty result.
     """
-    spark, scratch = edges.sparkSession, Scratch(edges.sparkSession, tag)
+    scratch = scratch or Scratch(edges.sparkSession, tag)
     u, v = F.col(a).cast("long"), F.col(b).cast("long")
     now = scratch.keep(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
     seen = _digest(now)

@@ -58,3 +58,8 @@ class Scratch:
         for df in dfs:
             if id(df) in self.paths:
                 delete(self.spark, self.paths.pop(id(df))[1])
+
+    def only(self, *dfs: DataFrame) -> None:
+        """Drop all tables but these: those that a result still reads."""
+        held = {id(df) for df in dfs}
+        self.drop(*(df for df, _ in list(self.paths.values()) if id(df) not in held))
