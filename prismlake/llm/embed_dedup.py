@@ -170,7 +170,7 @@ def near_vectors(table: DataFrame, least: float = 0.98, window: int = WINDOW, ve
         tiles = order.select("node", "pass", "label", "width", F.floor((F.col("rank") + cut) / window).alias("tile"))
         met = tiles.join(vectors, "node").select("tile", "pass", "label", "width", "node", "vector").groupBy("tile").applyInPandas(_window_links(least), "a long, b long")
         met = met.distinct() if roots is None else met.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        following = scratch.keep(connected_components(met, tag="vectors"))
+        following = scratch.keep(connected_components(met, scratch=scratch))
         if roots is not None:
             scratch.drop(roots)
         roots, before, linked = following, linked, following.where("node != root").count()
@@ -186,6 +186,7 @@ def near_vectors(table: DataFrame, least: float = 0.98, window: int = WINDOW, ve
     links = near.groupBy("node").agg(F.sum("links").alias("links"))
     known = points.select("node", "id", "n", *same).join(roots, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = scratch.keep(known)
+    scratch.only(known)
     known = known.join(known.groupBy("root").agg(F.min("id").alias("component")), "root")
     of = known.select(F.col("label").alias("l"), F.col("k1").alias("x1"), F.col("k2").alias("x2"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component")
     out = rows.join(of, F.col("ok") & (F.col("label") == F.col("l")) & (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2")), "left")

@@ -84,7 +84,9 @@ def _plan(rows: DataFrame, weights: tuple[float, ...], share: float, most: float
     every = plan.join(cut, F.col("source").eqNullSafe(F.col("s")) & (F.col("copy") == F.col("c")), "left").withColumn("below", below)
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("copy", "below"))), lambda x: x["below"])
     table = every.groupBy(F.col("source").alias("src"), F.col("size").alias("source_size"), "target").agg(in_order.alias("below"))
-    return _small(scratch.keep(table))
+    table = scratch.keep(table)
+    scratch.only(table)
+    return _small(table)
 
 
 def _hash(doc_id: str) -> Column:
@@ -115,8 +117,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
 def copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, text: str = "text", doc_id: str = "doc_id", source: str = "source", size: Column | None = None) -> DataFrame:
     """The rows of docs, all their columns, each as often as ``mix`` takes it."""
-    plan = _plan(_rows(docs, text, doc_id, source, size), weights, share, most).select("src", F.col("below").alias("__below"))
-    out = docs.join(plan, F.col(source).eqNullSafe(F.col("src")))
+    plan = _plan(_rows(docs, text, doc_id, source, size), weights, share, most).select(F.col("src").alias("__source"), F.col("below").alias("__below"))
+    out = docs.join(plan, F.col(source).eqNullSafe(F.col("__source")))
     again = F.filter("__below", lambda b: b > _hash(doc_id))
     return out.withColumn("__copy", F.explode(again)).select(*(F.col(c) for c in docs.columns))
 

@@ -163,8 +163,10 @@ def fingerprint_groups(rows: DataFrame, distance: int = 2, crowd: int = CROWD, s
     if not crowded.isEmpty():
         fine = crowded.select(F.explode(_cells(F.col("fp"), 1)).alias("cell"), "fp", "id")
         links = links.unionByName(_meet(fine, distance, 65).where(F.col("b").isNotNull()).select("a", "b"))
-    roots = connected_components(links, tag="simhash").select(F.col("node").alias("id"), "root")
-    return points.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
+    roots = connected_components(links, scratch=scratch).select(F.col("node").alias("id"), "root")
+    groups = scratch.keep(points.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id")))
+    scratch.only(groups)
+    return groups
 
 
 def simhash_groups(docs: DataFrame, distance: int = 2, shingle: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -176,7 +178,7 @@ def simhash_groups(docs: DataFrame, distance: int = 2, shingle: int = 3, text: s
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.keep(fingerprints(docs, text, doc_id, shingle))
-    groups = fingerprint_groups(rows, distance, scratch=scratch)
+    groups = fingerprint_groups(rows, distance)
     return rows.join(groups, "fp").select(F.col("id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -77,6 +77,40 @@ def test_shards(docs, odd, none):
     assert sharding.hilbert_shards(none).count() == 0
 
 
+def test_shards_against_plain_placement(docs, odd):
+    """Codes by plain counting, curve, order and runs as the docstring says; reruns and other partitions agree."""
+    import xxhash
+
+    for df in (docs, odd):
+        rows = [(r["doc_id"], len((r["text"] or "").encode()) + 8, zlib.crc32((r["text"] or "").encode()), r["source"], r["lang"]) for r in df.select("doc_id", "text", "source", "lang").collect()]
+        n, codes = len(rows), []
+        for k in (0, 1):
+            least = min(r[k] for r in rows if r[k] is not None)
+            step = [-1 if r[k] is None else int(np.floor(np.log2(float(r[k]) - least + 1) * 1024)) for r in rows]
+            codes.append([sum(x < s for x in step) * 32 // n for s in step])
+        for k in (3, 4):
+            codes.append([xxhash.xxh64_intdigest((r[k] if r[k] is not None else "\0").encode(), 42) % 32 for r in rows])
+        place = sharding.hilbert_index(np.array(codes).T, 5).tolist()
+        low = lambda x: (x is not None, x or 0 if not isinstance(x, str) else x)
+        order = sorted(range(n), key=lambda i: (place[i], low(rows[i][0]), rows[i][2], rows[i][1], low(rows[i][3]), low(rows[i][4])))
+        q, r = divmod(n, 24)
+        runs = [(s, k) for s in range(24) for k in range(q + (s < r))]
+        want = sorted((*rows[i][:3], *at) for i, at in zip(order, runs)) if df is docs else sorted(((*rows[i][:3], *at) for i, at in zip(order, runs)), key=str)
+        for part in (df, df.repartition(5)):
+            got = [tuple(x[c] for c in ("doc_id", "size", "text_crc32", "shard", "slot")) for x in sharding.hilbert_shards(part).collect()]
+            assert (sorted(got) if df is docs else sorted(got, key=str)) == want
+
+
+def test_shards_prune(spark):
+    """Shards whose bounds meet a box of a quarter of the ids and of the sizes: a few of 24, where runs by id alone meet all 6 of the id range."""
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, "x" * int(n), "a", "b") for i, n in enumerate(rng.integers(0, 900, 3000))], "doc_id long, text string, source string, lang string")
+    got = sharding.hilbert_shards(df, words=()).toPandas()
+    bounds = got.groupby("shard").agg(a=("doc_id", "min"), b=("doc_id", "max"), c=("size", "min"), d=("size", "max"))
+    met = [((bounds.a < x + 750) & (bounds.b >= x) & (bounds.c < y + 225) & (bounds.d >= y)).sum() for x in range(0, 3000, 750) for y in range(8, 900, 225)]
+    assert np.mean(met) <= 4 and max(met) <= 8
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((12, 16))
@@ -237,6 +271,48 @@ def test_language(docs, odd, none):
     assert langid.identify(none, langid.fit(none, F.lit(True))).count() == 0
 
 
+def test_language_against_plain_comparison(docs):
+    own = docs.where("doc_id is not null").select("doc_id", "text", "lang").collect()
+    model = langid.fit(docs, ~langid.held_out(F.col("doc_id")))
+    train = [r for r in own if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["text"] is not None and r["lang"] is not None]
+    seen = sum((langid.grams(r["text"]) > 0).astype(int) for r in train)
+    assert np.allclose(model.idf, np.log((1 + len(train)) / (1 + seen)) + 1, rtol=1e-5)
+    assert model.langs == sorted({r["lang"] for r in train}) and (np.bincount(model.owner) <= langid.CENTROIDS).all()
+    got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    for r in own:
+        if r["text"] and any(c.isalpha() for c in r["text"]):
+            x = langid._vectors([r["text"]], model.idf)[0][0]
+            cosines = [float(sum(a * b for a, b in zip(x[x > 0].tolist(), c[x > 0].tolist()))) for c in model.centroids]
+            assert got[r["doc_id"]]["lang_score"] == pytest.approx(max(cosines), abs=1e-4)
+            assert cosines[[i for i, o in enumerate(model.owner) if model.langs[o] == got[r["doc_id"]]["lang_pred"]][0]] <= max(cosines) + 1e-6
+            best = {model.langs[o] for c, o in zip(cosines, model.owner) if c >= max(cosines) - 1e-5}
+            assert got[r["doc_id"]]["lang_pred"] in best
+    again = {r["doc_id"]: r for r in langid.identify(docs.repartition(3), langid.fit(docs.repartition(3), ~langid.held_out(F.col("doc_id")))).collect()}
+    assert all(again[i]["lang_pred"] == got[i]["lang_pred"] and again[i]["lang_score"] == pytest.approx(got[i]["lang_score"], abs=1e-5) for i in got)
+
+
+def test_queries_give_their_columns(spark):
+    """The thin queries: columns and kinds, laws and filters."""
+    from prismlake.llm.queries import QUERIES
+
+    kinds = {
+        "op1_hilbert_shards": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int", "op2_near_vectors": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
+        "op3_simhash_groups": "doc_id bigint, fingerprint string, component_id bigint", "op5_language_centroids": "doc_id bigint, held_out boolean, lang_pred string, score double",
+        "op6_personal_spans": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string", "op7_repair_ids": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+        "op8_beam_nearest": "query_id bigint, rank int, vec_id bigint, score double", "op9_mix_sources": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    }
+    for name, columns in kinds.items():
+        df = QUERIES[name](spark, SF)
+        assert dict(x.split() for x in columns.split(", ")).items() <= dict(df.dtypes).items(), name
+        rows = df.collect()
+        if name == "op1_hilbert_shards":
+            assert {(r["law"], r["grown_shard"]) for r in rows} == {("rows", None)}
+        if name == "op5_language_centroids":
+            assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+        if name == "op8_beam_nearest":
+            assert {r["query_id"] for r in rows} == set(range(0, 500, 20)) and all(r["vec_id"] != r["query_id"] for r in rows) and len(rows) == 500
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -33,6 +33,48 @@ def test_near_copies_of_rows_without_own_id(spark):
     assert sorted(got, key=str) == sorted([(None, "a"), (7, "b"), (3, "c"), (3, "d"), (5, "e")], key=str)
 
 
+def odd_rows(spark, n=1):
+    """Nulls in any column, empty and very long texts, ties and repeated rows, and columns that stages use inside."""
+    long = " ".join(f"the cat number {i % 4999} sat on the mat" for i in range(20_000))
+    rows = [(1, "the cat sat on the mat", "en", "a", 22), (None, None, None, None, None), (2, "", "en", "", 0), (3, long, None, "a", None), (3, long, None, "a", None), (4, "12 34", "en", None, 5), (5, "mail a.b@c.de and the cat sat on the mat", "en", "b", 1), (None, "the cat sat on the mat", "en", "a", 22)]
+    extra = ", node long, block int, root int, place int, hash int, rank int, size int, h int, id string, src string"
+    return spark.createDataFrame([(*r, *[None] * extra.count(",")) for r in rows * n], "doc_id long, text string, lang string, source string, n_chars long" + extra)
+
+
+def test_stages_on_odd_rows(spark):
+    rows = odd_rows(spark)
+    for name, stage in cp.STAGES:
+        got = stage(spark, rows, SF).collect()
+        assert stage(spark, rows.limit(0), SF).count() == 0, name
+        texts = [r["text"] for r in got] if name != "best-fit packing" else []
+        if name == "language ID":
+            assert None not in texts and "" not in texts and "12 34" not in texts
+        if name == "SimHash near-dedup":
+            assert len(got) == 5 and {r["doc_id"] for r in got if r["text"] == "the cat sat on the mat"} == {1}
+        if name == "PII":
+            assert len(got) == 8 and "mail [EMAIL] and the cat sat on the mat" in texts and None in texts
+        if name == "mixing":
+            assert max(texts.count(t) for t in set(texts)) <= 4
+        if name == "best-fit packing":
+            assert sum(r["tokens"] for r in got) == sum(len((r["text"] or "").split()) + 1 for r in rows.collect())
+
+
+def test_order_of_rows_does_not_matter(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(odd_rows(spark, 2).select(cp.COLUMNS))
+    key = lambda rows: sorted((str(r["doc_id"]), r["text"] or "", r["source"] or "") for r in rows)
+    one = cp.drop_near_copies(spark, docs, SF).collect()
+    two = cp.drop_near_copies(spark, docs.orderBy("n_chars", "text").repartition(3, "lang"), SF).collect()
+    assert key(one) == key(two) and len(one) < docs.count()
+
+
+def test_run(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(odd_rows(spark, 2).select(cp.COLUMNS))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = cp.run(spark, str(tmp_path)).toPandas()
+    bins = got.groupby("bin").agg(used=("tokens", "sum"), length=("length", "max"))
+    assert len(got) > 100 and (bins.used <= bins.length).all() and got.doc_id.nunique() > 80
+
+
 def test_oracles(spark):
     for name, sql in queries.ORACLES.items():
         same(queries.QUERIES[name](spark, SF), sql, SF)
