@@ -176,8 +176,8 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "ve
         v = F.col(vector)
         return df.where(usable(v) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), v.cast("array<double>").alias("vector"))
 
-    rows = scratch.keep(ready(table).withColumn("w", F.size("vector")))
-    top = F.array_max(F.transform("vector", F.abs))
+    rows = scratch.keep(ready(table).withColumns({"w": F.size("vector"), "top": F.array_max(F.transform("vector", F.abs))}))
+    top = F.col("top")
     length = F.least(top * F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / top) * (x / top))), F.lit(sys.float_info.max))
     widths = rows.groupBy("w").agg(F.count("*").alias("n"), F.max(length).alias("longest")).orderBy(F.desc("n"), "w").first()
     schema = "query_id long, rank int, vec_id long, score double"
