@@ -148,7 +148,7 @@ def compress(ids: np.ndarray, first: int, times: int = TIMES) -> tuple[np.ndarra
     """(sequence, rules): rule k, a pair of symbols, is what symbol first + k stands for.
 
     Each round counts all pairs and replaces frequent ones by new symbols, from the left: the most frequent, and
-    with it others at least a quarter as frequent that can't overlap those taken. Rounds go on until no pair occurs
+    with it others at least an eighth as frequent that can't overlap those taken. Rounds go on until no pair occurs
     ``times`` times, as fewer don't pay for their rule, or all symbols of two bytes are used, since wider ones would
     cost more than further rules save. Where the ids leave no room in two bytes, symbols have four.
     """
@@ -160,7 +160,7 @@ def compress(ids: np.ndarray, first: int, times: int = TIMES) -> tuple[np.ndarra
         in_order = np.sort(pair)
         cut = np.concatenate([[0], np.flatnonzero(in_order[1:] != in_order[:-1]) + 1, [len(pair)]])
         n = np.diff(cut)
-        often = np.flatnonzero(n >= max(times, int(n.max()) // 4))
+        often = np.flatnonzero(n >= max(times, int(n.max()) // 8))
         if not len(often):
             break
         value, n = in_order[cut[often]], n[often]
