@@ -30,15 +30,16 @@ def _record(kind: str, fields: dict[str, str], block: bytes) -> bytes:
     return pack.compress(text.encode()) + pack.compress(block) + pack.compress(b"\r\n\r\n") + pack.flush()
 
 
-def _urn(page: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page}/{digest}')}>"
+def _urn(page: int | None, digest: str, copy: int = 0) -> str:
+    """Names differ for each row: ``copy`` numbers those of one page and payload."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page}/{digest}' + f'/{copy}' * (copy > 0))}>"
 
 
-def page_record(page: int | None, url: str | None, payload: bytes, size: int, digest: str, first: int | None, revisit: bool) -> bytes:
+def page_record(page: int | None, url: str | None, payload: bytes, size: int, digest: str, first: int | None, revisit: bool, copy: int = 0) -> bytes:
     """The response or revisit record of a page; revisits carry the HTTP head only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     fields = {
-        "WARC-Record-ID": _urn(page, digest), "WARC-Target-URI": quote(url, safe="/:?#[]@!$&'()*+,;=%~") if url else f"urn:page:{page}",
+        "WARC-Record-ID": _urn(page, digest, copy), "WARC-Target-URI": quote(url, safe="/:?#[]@!$&'()*+,;=%~") if url else f"urn:page:{page}",
         "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": f"sha256:{digest}", "X-Page-ID": "" if page is None else str(page),
     }
     if revisit:
@@ -72,7 +73,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     dealt = rows.repartitionByRange(len(starts) + 1, "run").sortWithinPartitions("run", "id", "digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, parts, size, ids, at, number, last = [], [], 0, [], None, 0, (None, None, None)
+        files, parts, size, ids, at, number, last, copy = [], [], 0, [], None, 0, (None, None, None), 0
 
         def close() -> None:
             nonlocal parts, size, ids, number
@@ -100,8 +101,9 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
                 origin = last[2] if last[:2] == key else None
                 revisit = origin is not None or repeated and row["n"] >= LEAST and row["id"] is not None
                 origin = row["id"] if origin is None else origin
+                copy = copy + 1 if repeated else 0
                 last = (*key, last[2] if last[:2] == key else None, True)
-                part = page_record(row["id"], row["url"], b"" if revisit else row["html"].encode("utf-8", "surrogatepass"), row["n"], row["digest"], origin, revisit)
+                part = page_record(row["id"], row["url"], b"" if revisit else row["html"].encode("utf-8", "surrogatepass"), row["n"], row["digest"], origin, revisit, copy)
                 if parts and size + len(part) > roll_bytes:
                     close()
                 parts.append(part)

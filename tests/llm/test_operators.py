@@ -286,6 +286,40 @@ def test_warc(spark):
     assert warc.read_archives(warc.write_archives(df.limit(0), folder), folder).count() == 0
 
 
+def test_archives_are_whole(spark):
+    """Every record has a name of its own, revisits name a response; damage of any byte is found."""
+    from prismlake.llm.files import read_whole
+
+    body = "y" * 150
+    rows = [(1, "u", body)] * 3 + [(2, "u", body), (2, "u", body), (None, "u", "z" * 200), (None, "u", "z" * 200), (5, "u", "tiny"), (5, "u", "tiny")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = new_path(spark, "test")
+    files = [r["file"] for r in warc.write_archives(df, folder).collect()]
+    heads = [h for f in files for h, _ in warc.records(read_whole(folder, f))]
+    names = [h["WARC-Record-ID"] for h in heads]
+    assert len(set(names)) == len(names) == 9 + len(files)
+    responses = {h["WARC-Record-ID"] for h in heads if h["WARC-Type"] == "response"}
+    assert all(h["WARC-Refers-To"] in responses for h in heads if h["WARC-Type"] == "revisit") and sum(h["WARC-Type"] == "revisit" for h in heads) == 4
+    data = read_whole(folder, files[0])
+    rng = np.random.default_rng(0)
+    for at in rng.integers(0, len(data), 60).tolist():
+        broken = bytearray(data)
+        broken[at] ^= 1 << int(rng.integers(0, 8))
+        try:
+            assert [b for _, b in warc.records(bytes(broken))] == [b for _, b in warc.records(data)]  # a byte of a gzip head
+        except (ValueError, KeyError, zlib.error):
+            pass
+    with pytest.raises((ValueError, zlib.error)):
+        list(warc.records(data[:-9]))
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    with store.open_output_stream(f"{root}/{files[0]}", compression=None) as out:
+        out.write(data + data)
+    with pytest.raises(Exception, match="isn't the file of the manifest"):
+        warc.read_archives(spark.read.parquet(f"{folder}/manifest"), folder).collect()
+
+
 def test_language(docs, odd, none):
     model = langid.fit(docs, ~langid.held_out(F.col("doc_id")))
     got = langid.identify(docs, model).where(langid.held_out(F.col("doc_id"))).collect()
