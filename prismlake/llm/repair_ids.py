@@ -281,7 +281,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | Callable[[], str
     id_ = F.col(doc_id).cast("long")
     keys = scratch.keep(docs.select(id_.alias("id"), (F.octet_length(body) + 1).cast("long").alias("n")))
     starts = range_starts(keys, ["id", "n"], "n", shard_bytes_, scratch)
-    rows = docs.select(in_range(starts, id_).alias("shard"), id_.alias("id"), body.alias("t"), F.crc32(body.cast("binary")).alias("crc"))
+    rows = docs.select(in_range(spark, starts, id_).alias("shard"), id_.alias("id"), body.alias("t"), F.crc32(body.cast("binary")).alias("crc"))
     dealt = rows.repartitionByRange(len(starts) + 1, "shard").sortWithinPartitions("shard", "id", "crc", F.octet_length("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,7 +67,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     first = keys.where(F.col("n") >= LEAST).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("times")).where("times > 1 and first is not null").select("digest", "first")
     again = keys.where(F.col("n") >= LEAST).join(first, "digest").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "digest", "first").distinct()
     starts = range_starts(keys, ["id", "digest"], "n", range_bytes, scratch)
-    run_of = in_range(starts, F.col("id")).alias("run")
+    run_of = in_range(spark, starts, F.col("id")).alias("run")
     notes = again.select(run_of, "id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.lit(0).cast("long").alias("n"), "first")
     rows = all_.select(run_of, "id", "digest", F.lit(1).alias("kind"), "url", "html", "n", F.lit(None).cast("long").alias("first")).unionByName(notes)
     dealt = rows.repartitionByRange(len(starts) + 1, "run").sortWithinPartitions("run", "id", "digest", "kind", "url")
