@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlsplit
@@ -31,6 +32,16 @@ def _open(path: str, most: int | None = None) -> bytes:
         return f.read(most) if most else f.read()
 
 
+def _raw(data: bytes) -> np.ndarray:
+    """RGB of a RAW file, where the rawpy library is installed."""
+    try:
+        import rawpy
+    except ImportError as e:
+        raise ValueError("no decoder for raw files") from e
+    with rawpy.imread(io.BytesIO(data)) as shot:
+        return shot.postprocess()
+
+
 def _pixels(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     """RGB of Spark's image rows: grey, or blue, green, red and maybe alpha."""
     x = np.frombuffer(data, "u1").reshape(height, width, channels)
@@ -58,7 +69,7 @@ def decode(files: DataFrame, decoders: dict[str, Callable[[bytes], np.ndarray]]
 
     Pictures go through Spark's image reader, which tells JPEG, PNG, TIFF and BMP files by their content, in scans of
     ``SCAN`` files; their paths come to the driver, which that reader needs. Videos and HEIC pictures give a frame by
-    the ``tools``, RAW ones need a decoder. ``decoders``, by kind (image, raw, heic, video), turn a file's bytes into
+    the ``tools``, RAW ones go through the rawpy library if that is installed. ``decoders``, by kind (image, raw, heic, video), turn a file's bytes into
     an RGB array instead. Only still pictures are turned by their Exif orientation. ``faces`` adds score and vector of
     each face, ``jpeg`` the picture within ``SIDE`` pixels to send to a service. A null or doubled path gives a row each.
     """
@@ -96,8 +107,8 @@ def decode(files: DataFrame, decoders: dict[str, Callable[[bytes], np.ndarray]]
             return _looked(image.read_bmp(tools.frame(path, seconds)), read_exif(b""), False, faces, jpeg) | {"probe": text or "{}"}
         if kind == "heic":
             return _looked(image.read_bmp(tools.frame(path, None)), read_exif(_open(path)), False, faces, jpeg)
-        _open(path, 1)
-        raise ValueError(f"no decoder for {kind} files")
+        data = _open(path)
+        return _looked(_raw(data), read_exif(data), False, faces, jpeg)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
