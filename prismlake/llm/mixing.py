@@ -36,7 +36,7 @@ def shares(sums: DataFrame, weights: tuple[float, ...], share: float, most: floa
     total, caps, level = table.agg(F.sum("size"), F.sum("cap"), F.sum("w")).first()
     left = min(share * (total or 0), caps or 0.0)
     level, before = left / level if level else 0.0, None
-    while level != before:
+    while before is None or level > before:  # rounding may lower it a little at the end
         full = F.col("w") * F.lit(level) > F.col("cap")
         held, free = table.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("w")))).first()
         level, before = ((left - (held or 0.0)) / free if free else float("inf")), level
