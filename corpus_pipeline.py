@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from prismlake.llm import langid, mixing, near_texts, packing, pii
+from prismlake.llm import langid, mixing, near_texts, packing, pii, simhash
 from prismlake.plans.scratch import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -20,12 +20,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near copies.
 
+    Groups are those of op3, by fingerprints that meet in the grid over segment counts; texts beyond its two bits, but
+    at a Jaccard similarity of 0.8 or more, join them after that.
+
     Each row counts by itself, whatever its id: rows with a null id, or with one that others have too, go only if
     their text is a copy. Null ids come last; equal ids are told apart by the hash of their text and the other columns.
     """
     scratch = Scratch(spark, "stage")
     rows = scratch.keep(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("place")))
-    groups = near_texts.near_text_groups(rows, doc_id="place").withColumnRenamed("id", "place")
+    alike = scratch.keep(simhash.simhash_groups(rows, doc_id="place").select(F.col("place").alias("id"), "component_id"))
+    groups = near_texts.near_text_groups(rows, doc_id="place", groups=alike).withColumnRenamed("id", "place")
+    scratch.drop(alike)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "place"))
     stay = rows.select("doc_id", F.xxhash64(*COLUMNS).alias("hash"), "place").join(groups, "place").groupBy("component_id").agg(first["place"].alias("place"))
     return rows.join(stay, "place", "left_semi").select(COLUMNS)

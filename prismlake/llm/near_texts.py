@@ -214,7 +214,7 @@ def _mixed_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.T
             yield int(key[starts[k]]), rows[starts[k] : starts[k + 1]]
 
 
-def near_text_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, lanes: int = LANES, text: str = "text", doc_id: str = "doc_id", crowd: int = CROWD) -> DataFrame:
+def near_text_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, lanes: int = LANES, text: str = "text", doc_id: str = "doc_id", crowd: int = CROWD, groups: DataFrame | None = None) -> DataFrame:
     """(id, component_id) of each row of docs; texts link at a Jaccard similarity of their word shingle sets of ``similarity`` or more.
 
     Sets of that similarity have a known angle, and so fingerprints a known part of differing bits (about 15 % at
@@ -233,6 +233,9 @@ def near_text_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     Cells with more than ``crowd`` rows are split: by salt first, and then, if that leaves several groups in it, in
     pairs of such parts, so a task never holds more than two parts of a cell.
 
+    ``groups``, (id, component_id) with component_id the smallest id, are groups found before, such as those of
+    ``simhash_groups``: their links stay, and only texts of different groups are compared. Ids occur once then.
+
     Equal texts are one point; texts without words link with one another only; ids are the smallest of equal
     fingerprints, null ids take no part (component null). Empty tables give empty results.
     """
@@ -373,6 +376,12 @@ def near_text_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
         apart = by_block(each(rooted(gathered(df), roots), "root")).mapInArrow(several, "block long, node long, root long")
         return scratch.keep(apart.groupBy("node").agg(F.first("root").alias("root"), F.collect_list("block").alias("blocks")))
 
+    def links_of(groups: DataFrame) -> DataFrame:
+        """A link for each different text of a group with that of the group's smallest id."""
+        at = rows.where(F.col("id").isNotNull()).join(points.select("fp", "node"), "fp").select("id", F.col("node").alias("b"))
+        others = at.join(groups.where("id != component_id"), "id").select("component_id", "b").distinct()
+        return others.join(at.select(F.col("id").alias("component_id"), F.col("b").alias("a")), "component_id").select("a", "b")
+
     def edges(roots: DataFrame) -> DataFrame:
         return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
@@ -384,7 +393,8 @@ def near_text_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     met = scratch.keep(split.select("block", "node", *names).repartition("block").sortWithinPartitions("block", "node").mapInArrow(meet, "block long, node long, first long"))
     stars = met.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     one, two = known.select(F.col("node").alias("a"), F.col("fp").alias("x")), known.select(F.col("node").alias("b"), F.col("fp").alias("y"))
-    roots = joined(stars.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
+    links = stars.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    roots = joined(links if groups is None else links.unionByName(links_of(groups)))
     blocks = met.select("block", "node")
     if n:
         own = rooted(split.where(F.col("parts").isNotNull()).select("cell", "node", "parts"), roots)
@@ -410,6 +420,6 @@ def near_text_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
 
     of = rooted(points.where(F.col("id").isNotNull()).select("node", "fp", "id"), roots)
     first = of.groupBy("root").agg(F.min("id").alias("component_id"))
-    groups = scratch.keep(points.select("fp").join(of.join(first, "root").select("fp", "component_id"), "fp", "left"))
-    scratch.only(rows, groups)
-    return rows.join(groups, "fp").select("id", "component_id")
+    final = scratch.keep(points.select("fp").join(of.join(first, "root").select("fp", "component_id"), "fp", "left"))
+    scratch.only(rows, final)
+    return rows.join(final, "fp").select("id", "component_id")

@@ -3,7 +3,7 @@
 import corpus_pipeline as cp
 from oracle import same
 
-from prismlake.llm import pii, queries
+from prismlake.llm import near_texts, pii, queries, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,6 +33,18 @@ def test_near_copies_of_rows_without_own_id(spark):
     assert sorted(got, key=str) == sorted([(None, "a"), (7, "b"), (3, "c"), (3, "d"), (5, "e")], key=str)
 
 
+def test_near_copies_are_those_of_the_grid_and_beyond(spark):
+    """Groups of op3's fingerprints stay whole, also where shingle sets are less alike; like texts beyond two bits go too."""
+    words = [f"word{i}" for i in range(200)]
+    page = " ".join(["this line is on each page here"] * 300)
+    texts = [f"{page} first ending of a page", f"{page} another end, which nothing else has", " ".join(words), " ".join([*words[:60], "changed", *words[61:120], "twice", *words[121:]]), " ".join(words[::-1])]
+    fp, sets = [simhash.fingerprint(t) for t in texts], [near_texts.shingle_set(t, 5) for t in texts]
+    like = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in (0, 2)]
+    assert (fp[0] ^ fp[1]).bit_count() <= 2 < (fp[2] ^ fp[3]).bit_count() and like[0] < 0.8 <= like[1]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in cp.drop_near_copies(spark, docs, SF).collect()) == [0, 2, 4]
+
+
 def odd_rows(spark, n=1):
     """Nulls in any column, empty and very long texts, ties and repeated rows, and columns that stages use inside."""
     long = " ".join(f"the cat number {i % 4999} sat on the mat" for i in range(20_000))
