@@ -205,6 +205,22 @@ def _numbered(*parts: Column) -> Column:
     return F.shiftleft(F.shiftright("cell", _TABLE), _TABLE).bitwiseOR(within)
 
 
+def _pairs_of_parts(own: DataFrame, crowd: int, cells: int) -> DataFrame:
+    """(block, node) for each two parts of a cell that hold different roots; own: cell, node, root, of so many cells.
+
+    A root with more than ``crowd`` rows in a cell has parts of its own, which meet the parts of other roots only:
+    a large group that has joined is read once for each part of the other rows, not once for each of its own parts.
+    """
+    counts = own.groupBy("cell", "root").count()
+    kind = F.when(F.col("count") > crowd, F.col("root")).otherwise(F.lit(-1).cast("long"))
+    kinds = counts.groupBy("cell", kind.alias("kind")).agg(F.ceil(F.sum("count") / crowd).alias("parts")).groupBy("cell").agg(F.collect_list(F.struct("kind", "parts")).alias("kinds"))
+    of = lambda k: F.get(F.filter("kinds", lambda x: x["kind"] == k), F.lit(0))
+    rows = own.join(_small(kinds, cells), "cell").withColumn("mine", F.coalesce(of(F.col("root")), of(F.lit(-1))))
+    met = rows.select("cell", "node", "mine", F.explode(F.filter("kinds", lambda x: (x["kind"] != F.col("mine.kind")) | (x["kind"] == -1))).alias("other"))
+    both = met.select("cell", "node", F.xxhash64("mine.kind", F.pmod(F.xxhash64("node", "cell"), F.col("mine.parts"))).alias("x"), "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other.parts") - 1)).alias("part"))
+    return both.withColumn("y", F.xxhash64("other.kind", "part")).select(_numbered(F.least("x", "y"), F.greatest("x", "y")).alias("block"), "node")
+
+
 def _mixed_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
     """Number and rows of each block (block, node, root, ...) that has more than one root."""
     for rows in _whole_blocks(batches):
@@ -231,7 +247,7 @@ def near_text_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     similarity can't be without a common one of, and are compared by the sets, so none of their links is missed.
 
     Cells with more than ``crowd`` rows are split: by salt first, and then, if that leaves several groups in it, in
-    pairs of such parts, so a task never holds more than two parts of a cell.
+    pairs of parts of different groups, so a task never holds more than two parts of a cell.
 
     ``groups``, (id, component_id) with component_id the smallest id, are groups found before, such as those of
     ``simhash_groups``: their links stay, and only texts of different groups are compared. Ids occur once then.
@@ -349,11 +365,6 @@ def near_text_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
         many = scratch.keep(placed.groupBy("cell").count().where(F.col("count") > crowd).select("cell", F.ceil(F.col("count") / crowd).alias("parts")))
         return many, many.count()
 
-    def pairs_of_parts(own: DataFrame) -> DataFrame:
-        """(block, node) for each two parts of a cell; own: cell, node, parts."""
-        both = own.select("cell", "node", _part().alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("y"))
-        return both.select(_numbered(F.least("x", "y"), F.greatest("x", "y")).alias("block"), "node")
-
     def by_block(df: DataFrame) -> DataFrame:
         return df.repartition("block").sortWithinPartitions("block")
 
@@ -376,6 +387,11 @@ def near_text_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
         apart = by_block(each(rooted(gathered(df), roots), "root")).mapInArrow(several, "block long, node long, root long")
         return scratch.keep(apart.groupBy("node").agg(F.first("root").alias("root"), F.collect_list("block").alias("blocks")))
 
+    def by_sets(blocks: DataFrame, few: DataFrame, roots: DataFrame) -> DataFrame:
+        """Links within blocks of short texts."""
+        own = each(mixed(blocks, roots).join(few.select("node", "set"), "node"), "root", "set")
+        return by_block(own).mapInArrow(lambda x: exact(x, False), "a long, b long")
+
     def links_of(groups: DataFrame) -> DataFrame:
         """A link for each different text of a group with that of the group's smallest id."""
         at = rows.where(F.col("id").isNotNull()).join(points.select("fp", "node"), "fp").select("id", F.col("node").alias("b"))
@@ -397,10 +413,9 @@ def near_text_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     roots = joined(links if groups is None else links.unionByName(links_of(groups)))
     blocks = met.select("block", "node")
     if n:
-        own = rooted(split.where(F.col("parts").isNotNull()).select("cell", "node", "parts"), roots)
-        open_ = own.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("cell")
-        blocks = blocks.unionByName(pairs_of_parts(own.join(_small(open_, n), "cell", "left_semi")))
-    left = mixed(blocks, roots).join(known, "node")
+        own = scratch.keep(rooted(split.where(F.col("parts").isNotNull()).select("cell", "node"), roots))
+        blocks = blocks.unionByName(_pairs_of_parts(own, crowd, n))
+    left = rooted(gathered(blocks), roots).join(known, "node")
     found = scratch.keep(by_block(each(left, "root", "fp")).mapInArrow(wide, "block long, a long, b long"))
     roots = joined(edges(roots).unionByName(found.where(F.col("b").isNotNull()).select("a", "b")))
 
@@ -410,12 +425,15 @@ def near_text_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     shorts = few.select(F.explode(F.slice(F.array_sort("set"), F.lit(1), shared)).alias("cell"), "node")
     many, n = crowded(shorts)
     shorts = shorts.join(_small(many, n), "cell", "left")
-    short = shorts.where(F.col("parts").isNull()).select(F.col("cell").alias("block"), "node").unionByName(pairs_of_parts(shorts.where(F.col("parts").isNotNull())))
-    doubt = mixed(found.where(F.col("b").isNull()).select("block", F.col("a").alias("node")), roots)
-    long = each(doubt.join(sets_of(doubt), "node"), "root", "set", "fp")
-    links = by_block(long).mapInArrow(lambda x: exact(x, True), "a long, b long")
-    own = each(mixed(short, roots).join(few.select("node", "set"), "node"), "root", "set")
-    links = links.unionByName(by_block(own).mapInArrow(lambda x: exact(x, False), "a long, b long"))
+    short = shorts.where(F.col("parts").isNull()).select(F.col("cell").alias("block"), "node")
+    if n:
+        split = shorts.where(F.col("parts").isNotNull())
+        roots = joined(edges(roots).unionByName(by_sets(split.select(_numbered(_part()).alias("block"), "node"), few, roots)))
+        own = scratch.keep(rooted(split.select("cell", "node"), roots))
+        short = short.unionByName(_pairs_of_parts(own, crowd, n))
+    doubt = scratch.keep(gathered(found.where(F.col("b").isNull()).select("block", F.col("a").alias("node"))))
+    long = each(rooted(doubt, roots).join(sets_of(doubt), "node"), "root", "set", "fp")
+    links = by_block(long).mapInArrow(lambda x: exact(x, True), "a long, b long").unionByName(by_sets(short, few, roots))
     roots = joined(edges(roots).unionByName(links))
 
     of = rooted(points.where(F.col("id").isNotNull()).select("node", "fp", "id"), roots)

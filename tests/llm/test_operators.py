@@ -270,6 +270,32 @@ def test_near_text_families(spark):
         assert {r["id"]: r["component_id"] for r in got} == want and len(set(want.values())) > 10
 
 
+def test_parts_of_crowded_cells(spark):
+    """Rows of different roots meet in a block of two parts, and a large group's rows are read once for each part of the others."""
+    roots = {0: [1] * 400 + list(range(1000, 1006)), 1: [2] * 300, 2: [3] * 90 + [4] * 70 + [5] * 5 + [6] * 5, 3: list(range(2000, 2050))}
+    own = [(c, 10000 * c + i, r) for c, of in roots.items() for i, r in enumerate(of)]
+    blocks = {}
+    for r in near_texts._pairs_of_parts(spark.createDataFrame(own, "cell long, node long, root long"), 16, 4).collect():
+        blocks.setdefault(r["node"], []).append(r["block"])
+    rows = {c: sum(len(blocks.get(n, [])) for k, n, _ in own if k == c) for c in roots}
+    assert rows[0] <= 400 + 6 * 26 and rows[1] == 0 and rows[2] <= 90 * 6 + 70 * 7 + 10 * 12 and rows[3] == 50 * 4
+    assert all(set(blocks[a]) & set(blocks[b]) for c, a, x in own for d, b, y in own if c == d and x != y)
+    sizes = np.unique(np.concatenate(list(blocks.values())), return_counts=True)[1]
+    assert sizes.max() <= 4 * 16
+
+
+def test_short_texts_in_a_crowded_cell(spark):
+    """Short texts that share their smallest hash: groups are those of all pairs, whether the cell is split or not."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(24)]
+    texts = [" ".join([*base[: 24 - k], *(f"x{x}" for x in rng.integers(0, 10**6, k))]) for k in [1] * 60 + [2] * 20 + [9] * 10 + [14] * 4]
+    sets = [near_texts.shingle_set(t, 5) for t in texts]
+    want = groups_by_force(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for crowd in (near_texts.CROWD, 8):
+        assert {r["id"]: r["component_id"] for r in near_texts.near_text_groups(docs, crowd=crowd).collect()} == want
+
+
 def test_warc(spark):
     body = "x" * 120
     rows = [(3, "http://a/b c", body), (1, None, body), (2, "u", "short"), (5, "u", "short"), (4, "u", None), (None, "u", body), (3, "v", body), (9, "u", "é" * 60)]
