@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from prismlake.llm import langid, mixing, near_texts, packing, pii, simhash
+from prismlake.plans.memory import small_batches
 from prismlake.plans.scratch import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -12,6 +13,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those that are like no language; lang stays as it is."""
+    small_batches(spark)
     model = langid.fit(docs, F.col("doc_id").isNotNull() & ~langid.held_out(F.col("doc_id")))
     out = langid.identify(docs.select(COLUMNS), model, prefix="__lang_")
     return out.where(~F.col("__lang_rejected")).select(COLUMNS)
@@ -26,6 +28,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Each row counts by itself, whatever its id: rows with a null id, or with one that others have too, go only if
     their text is a copy. Null ids come last; equal ids are told apart by the hash of their text and the other columns.
     """
+    small_batches(spark)
     scratch = Scratch(spark, "stage")
     rows = scratch.keep(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("place")))
     alike = scratch.keep(simhash.simhash_groups(rows, doc_id="place").select(F.col("place").alias("id"), "component_id"))
@@ -38,6 +41,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts the kind in brackets for each span of personal data; n_chars follows the text."""
+    small_batches(spark)
     return pii.redact(docs.select(COLUMNS), pii.fit(docs)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 

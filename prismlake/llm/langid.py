@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from prismlake.plans.memory import local_table
+
 #: Hashed n-gram features (a power of two), bytes of an n-gram, centroids of a language, rows of a language to fit them to.
 FEATURES, GRAM, CENTROIDS, SAMPLE = 1 << 13, 3, 4, 1500
 #: A text is rejected below this part of the similarity that all but FEWEST of the fitted rows of its language reach,
@@ -105,7 +107,7 @@ def fit(docs: DataFrame, rows: Column, text: str = "text", lang: str = "lang", d
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype("f4")
     sizes = own.groupBy("lang").count().collect()
     cut = [(r["lang"], int(min(1.0, 1.5 * sample / r["count"]) * 2**62) - 1) for r in sizes]
-    table = F.broadcast(spark.createDataFrame(cut, "l string, most long"))  # a row for each language
+    table = F.broadcast(local_table(spark, cut, "l string, most long"))  # a row for each language
     few = own.join(table, F.col("lang") == F.col("l")).where(F.shiftrightunsigned("h", 2) <= F.col("most"))
     first = Window.partitionBy("lang").orderBy("h", "t")
     few = few.withColumn("i", F.row_number().over(first)).where(F.col("i") <= sample).select("lang", "t")

@@ -167,7 +167,7 @@ def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
 def _pairs(root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of rows of different roots, some at a time."""
     n = len(root)
-    step = max(1, (1 << 18) // n)
+    step = max(1, (1 << 16) // n)
     for s in range(0, n, step):
         a, b = np.nonzero((root[s : s + step, None] != root[None, :]) & (np.arange(s, min(s + step, n))[:, None] < np.arange(n)[None, :]))
         yield a + s, b

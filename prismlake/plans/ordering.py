@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from prismlake.plans.memory import local_table
 from prismlake.plans.scratch import Scratch
 
 
@@ -23,7 +24,7 @@ def ranked(df: DataFrame, keys: list[str], scratch: Scratch, rank: str = "rank",
         starts.append((r["p"], *total))
         total = [t + x for t, x in zip(total, r[1:], strict=True)]
     names = ["__n", *(f"__{o}" for o in running)]
-    first = spark.createDataFrame(starts, "__p long, " + ", ".join(f"{n} long" for n in names))  # a row for each partition
+    first = local_table(spark, starts, "__p long, " + ", ".join(f"{n} long" for n in names))  # a row for each partition
     out = kept.withColumn("__p", part).join(F.broadcast(first), "__p")
     if running:
         from pyspark.sql import Window

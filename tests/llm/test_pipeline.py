@@ -4,6 +4,9 @@ import corpus_pipeline as cp
 from oracle import same
 
 from prismlake.llm import near_texts, pii, queries, simhash
+from prismlake.plans.memory import BATCH, local_table, small_batches
+from prismlake.plans.ordering import ranked
+from prismlake.plans.scratch import Scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,6 +82,37 @@ def test_order_of_rows_does_not_matter(spark):
     assert key(one) == key(two) and len(one) < docs.count()
 
 
+def test_batches_of_long_texts_are_bounded(spark):
+    """Python workers of the text stages get a few MB at a time, not 10,000 texts; smaller settings and all rows stay."""
+    import pyarrow as pa
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def read(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "bytes"])
+
+    text = " ".join(f"word{i}" for i in range(10_000))
+    docs = spark.range(0, 300, 1, 1).selectExpr("id doc_id", f"concat(id, ' {text}') text", "'en' lang", "'s' source", "1L n_chars")
+    for name, stage in cp.STAGES[:3]:
+        spark.conf.unset(setting)
+        stage(spark, docs.limit(0), SF)
+        got = docs.select("text").mapInArrow(read, "rows long, bytes long").collect()
+        assert sum(r["rows"] for r in got) == 300 and max(r["bytes"] for r in got) < BATCH + 2 * len(text), name
+    spark.conf.set(setting, "64k")
+    small_batches(spark)
+    assert spark.conf.get(setting) == "64k"
+    spark.conf.unset(setting)
+
+
+def test_small_tables_start_no_python_workers(spark):
+    got = ranked(spark.range(50).selectExpr("id % 7 a", "id b"), ["a", "b"], Scratch(spark, "test"))
+    assert [r["rank"] for r in got.orderBy("a", "b").collect()] == list(range(50))
+    for df in (got, local_table(spark, [("a", 1), (None, None)], "l string, n long"), local_table(spark, [], "l string, n long")):
+        assert "ExistingRDD" not in df._jdf.queryExecution().executedPlan().toString()
+    assert local_table(spark, [("a", 1), (None, None)], "l string, n long").collect() == [("a", 1), (None, None)]
+
+
 def test_run(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(odd_rows(spark, 2).select(cp.COLUMNS))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
