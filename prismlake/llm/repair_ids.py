@@ -7,6 +7,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,9 @@ from prismlake.plans.scratch import Scratch, new_path
 SHARD, TIMES = 12 << 20, 7
 #: Symbols of a file's block, which has a checksum of its own.
 BLOCK = 1 << 16
-#: Pieces whose ids a worker remembers in each of two generations.
+#: Pieces, and words that aren't cut, whose ids a worker remembers in each of two generations.
 REMEMBERED = 400_000
-#: Words looked up between two looks at how many are remembered.
+#: Words cut at once, and pieces looked up between two looks at how many are remembered.
 _TURN = 50_000
 #: Bits of the hash by which places of chosen pairs are found.
 _BUCKETS = 18
@@ -35,10 +36,11 @@ _MAGIC = b"RPG2"
 # and \p{N} are among the first 256 characters.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-_SPACES, _LETTERS, _NUMBERS = "\t-\r \x85\xa0", "a-zA-Zªµºà-öø-ÿÀ-ÖØ-ß", "0-9²³¹¼½¾"
+_WIDE_SPACES, _LETTERS, _NUMBERS = "\x85\xa0", "a-zA-Zªµºà-öø-ÿÀ-ÖØ-ß", "0-9²³¹¼½¾"
 
-_PIECE = re.compile(f"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
-_OTHER = re.compile("[^\x00-\xff]")
+# Read by Arrow's regular expressions.
+_PIECE = f"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{_NUMBERS}]|[^\\t-\\r {_WIDE_SPACES}{_LETTERS}{_NUMBERS}]+"
+_OTHER = r"[^\x00-\x{ff}]"
 
 
 @lru_cache(maxsize=2)
@@ -55,7 +57,7 @@ def _byte_letters() -> list[str]:
 
 
 class Encoder:
-    """Encodes whole texts, each different word of a batch once, remembering words and their pieces.
+    """Encodes whole texts, each different word of a batch once and each different piece of its words, remembering pieces.
 
     Pieces are cut as the tokenizer's own splitter does, which never lets a token span two, so ids equal those of
     the whole text. Words with characters past the first 256, which may change under normalization, or with one of
@@ -63,54 +65,75 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known, self.older, self.letters = _tokenizer(path), {}, {}, _byte_letters()
+        self.tokenizer, self.known, self.older = _tokenizer(path), {}, {}
+        self.model, self.letters = self.tokenizer.model, dict(enumerate(_byte_letters()))
         rules = json.loads(self.tokenizer.to_str())
         split = rules["pre_tokenizer"] or {}
         steps = split.get("pretokenizers", [])
-        self.special = [t["content"] for t in rules["added_tokens"]]
+        self.whole = "|".join([_OTHER, *(re.escape(t["content"]) for t in rules["added_tokens"])])
         self.pieces = rules["normalizer"] == _NORMALIZER and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": _SPLIT} and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _ids(self, word: str) -> bytes:
-        if _OTHER.search(word) or "<" in word and any(x in word for x in self.special):
-            return self._whole(word)
+    def _piece(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _remembered(self, names: list[str], make: Callable[[str], bytes]) -> list[bytes]:
         out = []
-        for p in _PIECE.findall(word.lower()):
-            ids = self.known.get(p) or self.older.get(p)
-            if ids is None:
-                letters = p if p.isascii() and p.isprintable() else "".join(self.letters[b] for b in p.encode())
-                ids = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
-            self.known[p] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        found = list(map(self.known.get, words))
-        for k, x in enumerate(found):
-            if x is None:
-                w = words[k]
-                found[k] = self.known[w] = self.older[w] if w in self.older else self._ids(w)
-        return found
+        for lo in range(0, len(names), _TURN):
+            if len(self.known) > REMEMBERED:
+                self.known, self.older = {}, self.known
+            turn = names[lo : lo + _TURN]
+            found = list(map(self.known.get, turn))
+            for k, x in enumerate(found):
+                if x is None:
+                    w = turn[k]
+                    found[k] = self.known[w] = self.older[w] if w in self.older else make(w)
+            out += found
+        return out
+
+    def _cut(self, words: pa.Array) -> pa.Array:
+        """The pieces of each word, among them empty ones."""
+        spaced = pc.replace_substring_regex(pc.utf8_lower(words), f"[{_WIDE_SPACES}]", " ")
+        return pc.ascii_split_whitespace(pc.replace_substring_regex(spaced, _PIECE, r"\0 "))
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        whole = pc.match_substring_regex(words, self.whole)
+        own = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        if len(own):  # an empty piece holds the place of each
+            words, apart = pc.if_else(whole, "", words), words.take(pa.array(own)).to_pylist()
+        cut = [self._cut(words[lo : lo + _TURN]) for lo in range(0, len(words), _TURN)]
+        cuts = np.cumsum(np.concatenate([[0], *(np.diff(x.offsets.to_numpy()) for x in cut)]))
+        coded = pa.chunked_array([x.flatten() for x in cut], pa.string()).dictionary_encode().combine_chunks()
+        known, at = self._remembered(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self._piece), coded.indices.to_numpy()
+        if len(own):
+            at = at.copy()
+            at[cuts[own]] = len(known) + np.arange(len(own))
+            known += self._remembered(apart, self._whole)
+        return _joined(known, at, cuts)
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts): the ids of the texts one after another, and how many each text has."""
-        if self.pieces:
-            words = pc.ascii_split_whitespace(texts)
-            coded = words.flatten().dictionary_encode()
-            at, cuts, known = coded.indices.to_numpy(), words.offsets.to_numpy(), []
-            for lo in range(0, len(coded.dictionary), _TURN):
-                known += self._words(coded.dictionary[lo : lo + _TURN].to_numpy(zero_copy_only=False).tolist())
-        else:
-            known = [self._whole(t.as_py()) for t in texts]
-            at = np.arange(len(known))
-            cuts = np.arange(len(known) + 1)
-        size = np.fromiter(map(len, known), "i8", len(known)) // 4
-        ids = _gather(np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size, size, at)
-        return ids, np.diff(np.concatenate([[0], np.cumsum(size[at])])[cuts])
+        if not self.pieces:
+            return _joined([self._whole(t.as_py()) for t in texts], np.arange(len(texts)), np.arange(len(texts) + 1))
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        ids, size = self._words(coded.dictionary)
+        at = coded.indices.to_numpy()
+        return _gather(ids, np.cumsum(size) - size, size, at), _counts(size, at, words.offsets.to_numpy())
+
+
+def _joined(known: list[bytes], at: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, counts) of rows made of the items ``at`` of known; row k has those from cuts[k] to cuts[k + 1]."""
+    size = np.fromiter(map(len, known), "i8", len(known)) // 4
+    return _gather(np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size, size, at), _counts(size, at, cuts)
+
+
+def _counts(size: np.ndarray, at: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    return np.diff(np.concatenate([[0], np.cumsum(size[at])])[cuts])
 
 
 def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -118,7 +141,9 @@ def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarra
     sizes = size[at]
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(start[at] - (ends - sizes), sizes) + np.arange(total)]
+    where = np.arange(total)
+    where += np.repeat(start[at] - (ends - sizes), sizes)
+    return flat[where]
 
 
 @lru_cache(maxsize=2)
@@ -156,7 +181,9 @@ def compress(ids: np.ndarray, first: int, times: int = TIMES) -> tuple[np.ndarra
     seq, rules, turn, wide = ids.astype(symbol_kind), np.empty((0, 2), "i8"), 0, np.dtype(pair_kind).type
     shift = wide(2 * bits - _BUCKETS)
     while len(seq) > 1 and first + len(rules) < 1 << bits:
-        pair = (seq[:-1].astype(pair_kind) << bits) | seq[1:]
+        pair = seq[:-1].astype(pair_kind)
+        pair <<= bits
+        pair |= seq[1:]
         in_order = np.sort(pair)
         cut = np.concatenate([[0], np.flatnonzero(in_order[1:] != in_order[:-1]) + 1, [len(pair)]])
         n = np.diff(cut)
@@ -167,14 +194,18 @@ def compress(ids: np.ndarray, first: int, times: int = TIMES) -> tuple[np.ndarra
         odd = wide((0x9E3779B97F4A7C15 * (2 * turn + 1) % 2**64 >> (64 - 2 * bits)) | 1)
         turn += 1
         value = value[_chosen(value, (value * odd) >> shift, n, bits, (1 << bits) - first - len(rules))]
-        table = np.full(1 << _BUCKETS, -1, "i4")
-        table[(value * odd) >> shift] = np.arange(len(value))
-        which = table[(pair * odd) >> shift]
-        place = np.flatnonzero(which >= 0)
-        place = place[value[which[place]] == pair[place]]
+        taken, table = np.zeros(1 << _BUCKETS, bool), np.zeros(1 << _BUCKETS, "i4")
+        taken[(value * odd) >> shift], table[(value * odd) >> shift] = True, np.arange(len(value))
+        bucket = pair * odd
+        bucket >>= shift
+        place = np.flatnonzero(taken[bucket])
+        which = table[bucket[place]]
+        same = value[which] == pair[place]
+        place, which = place[same], which[same]
         start = np.flatnonzero(np.diff(place, prepend=-2) != 1)
-        place = place[(np.arange(len(place)) - np.repeat(start, np.diff(start, append=len(place)))) % 2 == 0]
-        seq[place] = (first + len(rules) + which[place]).astype(symbol_kind)
+        every = (np.arange(len(place)) - np.repeat(start, np.diff(start, append=len(place)))) % 2 == 0
+        place, which = place[every], which[every]
+        seq[place] = (first + len(rules) + which).astype(symbol_kind)
         rules = np.concatenate([rules, np.stack([value >> wide(bits), value & wide((1 << bits) - 1)], 1).astype("i8")])
         left = np.ones(len(seq), bool)
         left[place + 1] = False
@@ -182,12 +213,30 @@ def compress(ids: np.ndarray, first: int, times: int = TIMES) -> tuple[np.ndarra
     return seq, rules
 
 
+def _spelled(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Length of what each rule stands for, and the ids of all rules one after another. Rules whose parts are known are worked out at once."""
+    needs = np.maximum.accumulate(rules.max(axis=1)) if len(rules) else np.empty(0, "i8")
+    size, done, steps = np.ones(first + len(rules), "i8"), 0, []
+    while done < len(rules):
+        stop = int(np.searchsorted(needs, first + done))
+        if stop <= done:
+            raise ValueError("a rule of later rules")
+        size[first + done : first + stop] = size[rules[done:stop]].sum(axis=1)
+        steps.append((done, stop))
+        done = stop
+    start = np.cumsum(size) - size
+    flat = np.concatenate([np.arange(first), np.empty(int(size[first:].sum()), "i8")])
+    for lo, hi in steps:
+        at = int(start[first + lo])
+        ids = _gather(flat, start, size, rules[lo:hi].ravel())
+        flat[at : at + len(ids)] = ids
+    return size[first:], flat[first:]
+
+
 def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Length and ids of what each rule stands for."""
-    out: list[np.ndarray] = []
-    for a, b in rules.tolist():
-        out.append(np.concatenate([out[x - first] if x >= first else np.array([x], "i8") for x in (a, b)]))
-    return np.array([len(x) for x in out], "i8"), out
+    length, flat = _spelled(rules, first)
+    return length, np.split(flat, np.cumsum(length)[:-1]) if len(length) else []
 
 
 class Shard:
@@ -216,10 +265,10 @@ class Shard:
                 setattr(self, name, np.frombuffer(data, kind))
             at += size
         self.first = parts["first"]
-        length, own = expansions(self.rules.reshape(-1, 2).astype("i8"), self.first)
+        length, own = _spelled(self.rules.reshape(-1, 2).astype("i8"), self.first)
         if not np.array_equal(length, self.lengths):
             raise ValueError("wrong expansion lengths")
-        self._flat = np.concatenate([np.arange(self.first), *own])
+        self._flat = np.concatenate([np.arange(self.first), own])
         self._from = np.concatenate([np.arange(self.first), self.first + np.cumsum(length) - length])
         self._size = np.concatenate([np.ones(self.first, "i8"), length])
 
@@ -253,7 +302,7 @@ class Shard:
 def shard_bytes(ids: np.ndarray, doc_ids: list[int | None], ends: np.ndarray, first: int) -> list[bytes]:
     """A shard's file: rules, expansion lengths, documents, the ids before each block of the sequence, and the sequence."""
     seq, rules = compress(ids, first)
-    lengths, _ = expansions(rules, first)
+    lengths, _ = _spelled(rules, first)
     size = np.concatenate([np.ones(first, "i8"), lengths])
     before = np.cumsum(np.concatenate([[0], np.add.reduceat(size[seq], np.arange(0, len(seq), BLOCK))]) if len(seq) else [0])[:-1]
     seq = seq.astype("<u2" if first + len(rules) <= 1 << 16 else "<u4")
@@ -282,7 +331,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | Callable[[], str
     keys = scratch.keep(docs.select(id_.alias("id"), (F.octet_length(body) + 1).cast("long").alias("n")))
     starts = range_starts(keys, ["id", "n"], "n", shard_bytes_, scratch)
     rows = docs.select(in_range(spark, starts, id_).alias("shard"), id_.alias("id"), body.alias("t"), F.crc32(body.cast("binary")).alias("crc"))
-    dealt = rows.repartitionByRange(len(starts) + 1, "shard").sortWithinPartitions("shard", "id", "crc", F.octet_length("t"))
+    dealt = rows.repartitionById(len(starts) + 1, "shard").sortWithinPartitions("shard", "id", "crc", F.octet_length("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = tokenizer() if callable(tokenizer) else tokenizer

@@ -509,6 +509,48 @@ def test_encoder_equals_whole_texts():
     assert not len(encoder.batch(pa.array([], pa.string()))[0])
 
 
+def test_encoder_remembers_pieces_alone():
+    """Only different pieces, and words that aren't cut, are looked up one by one; words are cut together."""
+    import pyarrow as pa
+    import public_tokenizers
+
+    encoder = repair_ids.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    encoder.batch(pa.array(["Word word, WORD: word.", "a\x85word\xa0Ünï ünÏ中", "", "word-word ünÏ中"]))
+    assert {x for x in encoder.known if x} == {"word", ",", ":", ".", "a", "ünï", "ünÏ中", "-"}
+
+
+def test_rules_spelled_at_once():
+    rng = np.random.default_rng(5)
+    for deep in (True, False):
+        rules = np.array([[rng.integers(max(0, 20 + k - 3) if deep and k < 12 else 0, 20 + k) for _ in range(2)] for k in range(60)])
+        own = []
+        for a, b in rules.tolist():
+            own.append([y for x in (a, b) for y in (own[x - 20] if x >= 20 else [x])])
+        length, got = repair_ids.expansions(rules, 20)
+        assert length.tolist() == [len(x) for x in own] and [x.tolist() for x in got] == own
+    assert repair_ids.expansions(np.empty((0, 2), "i8"), 20)[1] == []
+    with pytest.raises(ValueError):
+        repair_ids.expansions(np.array([[1, 21], [1, 2]]), 20)
+
+
+def test_shards_are_dealt_by_number(spark):
+    """A task for each shard, and texts are computed twice: for the ranges and for the files, not once more for a sample."""
+    import public_tokenizers
+
+    seen, folder = spark.sparkContext.accumulator(0), new_path(spark, "test")
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame([(k, f"text {k} of some") for k in range(60)], "doc_id long, text string").mapInArrow(count, "doc_id long, text string")
+    manifest = repair_ids.write_shards(docs, folder, public_tokenizers.path("word_bpe_49k.json"), shard_bytes_=100)
+    rows = manifest.withColumn("of", F.input_file_name()).collect()
+    assert sum(r["docs"] for r in rows) == 60 and len(rows) == len({r["of"] for r in rows}) > 5
+    assert seen.value == 120
+
+
 def test_grammar_round_trip():
     rng = np.random.default_rng(3)
     for n, top in ((0, 5), (1, 5), (5000, 3), (20000, 50)):
